@@ -37,3 +37,96 @@ def _knn(spark, sf, k=K_NN):
 def e4_knn(spark, sf):
     n = _knn(spark, sf)
     return finish(n.select(F.col("qid").alias("vec_id"), "rank", "nn_id", (1.0 - F.col("dist")).alias("cos_sim")))
+
+
+# ---------------- event graph ----------------
+
+from newslens.operators import eventgraph as G  # noqa: E402
+from newslens.operators import entities as E  # noqa: E402
+from newslens.plans.nlp_q import ENTS_CTE  # noqa: E402
+from newslens.sources.tables import article_view, documents  # noqa: E402
+
+FRAME_SQL = f"""{ENTS_CTE}, {VEC_SQL},
+fr AS (SELECT u.vec_id AS id, u.label, u.u, (DATE '2024-01-01' + CAST(d.doc_id % 30 AS INTEGER)) - DATE '1970-01-01' AS day
+       FROM u JOIN documents d ON d.doc_id = u.vec_id),
+es AS (SELECT doc_id AS id, list(entity ORDER BY entity) AS ents FROM ents GROUP BY doc_id),
+nd AS (SELECT fr.id, fr.label, fr.u, fr.day, coalesce(es.ents, []::VARCHAR[]) AS ents FROM fr LEFT JOIN es USING (id)),
+fpairs AS (SELECT a.id AS i, b.id AS j, {sq_sql('a.u', 'b.u')} / 2.0 AS dist FROM nd a, nd b WHERE a.id <> b.id),
+fknn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(dist, 6), j) AS rank FROM fpairs)
+         WHERE rank <= {K_NN}),
+ex AS (SELECT id, unnest(ents) AS entity FROM nd),
+dfq AS (SELECT entity, count(*) AS df FROM ex GROUP BY entity),
+sc AS (SELECT ex.id, sum(ln((SELECT count(*) FROM nd) / (1.0 + dfq.df))) AS s FROM ex JOIN dfq USING (entity) GROUP BY ex.id),
+nds AS (SELECT nd.*, coalesce(sc.s, 0.0) AS s FROM nd LEFT JOIN sc USING (id)),
+rng AS (SELECT max(day) - min(day) AS r FROM nd),
+feat AS (SELECT k.i, k.j, 1.0 - k.dist AS cos_sim,
+           len(list_intersect(a.ents, b.ents)) / (len(list_distinct(list_concat(a.ents, b.ents))) + 1e-6) AS jaccard,
+           CASE WHEN rng.r = 0 THEN NULL ELSE 1.0 - abs(a.day - b.day) / rng.r::DOUBLE END AS t_norm,
+           (a.s + b.s) / 2.0 AS tfidf, len(a.ents) > 0 AND len(b.ents) > 0 AS has_ents
+         FROM fknn k JOIN nds a ON a.id = k.i JOIN nds b ON b.id = k.j, rng),
+wt AS (SELECT *, (0.5 * jaccard + 0.4 * cos_sim + 0.1 * t_norm)
+                 * (1.0 + CASE WHEN 1.0 + tfidf > 0 THEN ln(1.0 + tfidf) END) AS w FROM feat WHERE has_ents),
+edges AS (SELECT least(i, j) AS src, greatest(i, j) AS dst, max(w) AS w FROM wt
+          WHERE w IS NOT NULL AND NOT isnan(w) AND w > 0.3 AND i <> j GROUP BY 1, 2)"""
+
+
+def _nodes(spark, sf):
+    d = article_view(documents(spark, sf))
+    return G.nodes_table(d, _emb(spark, sf))
+
+
+def _feats(spark, sf):
+    nodes = _nodes(spark, sf)
+    ents = nodes.select("id", F.explode("entities").alias("entity"))
+    scores = E.entity_scores(nodes.select("id"), ents=ents, id_col="id")
+    return G.edge_features(G.knn_pairs(nodes), nodes, scores)
+
+
+@query("g1_edges", f"WITH {FRAME_SQL} SELECT src, dst, {r6('w')} AS w FROM edges")
+def g1_edges(spark, sf):
+    return finish(G.weighted_edges(_feats(spark, sf)))
+
+
+@query("g3_jaccard", f"WITH {FRAME_SQL} SELECT i AS src, j AS dst, {r6('jaccard')} AS jaccard FROM feat")
+def g3_jaccard(spark, sf):
+    return finish(_feats(spark, sf).select(F.col("i").alias("src"), F.col("j").alias("dst"), "jaccard"))
+
+
+@query("g4_time_closeness", f"WITH {FRAME_SQL} SELECT i AS src, j AS dst, {r6('t_norm')} AS t_norm FROM feat")
+def g4_time_closeness(spark, sf):
+    return finish(_feats(spark, sf).select(F.col("i").alias("src"), F.col("j").alias("dst"), "t_norm"))
+
+
+@query("g10_modularity", f"""
+WITH {KNN_SQL},
+ed AS (SELECT least(vec_id, nn_id) AS src, greatest(vec_id, nn_id) AS dst, max(1.0 - dist) AS w FROM knn GROUP BY 1, 2),
+lab AS (SELECT vec_id, label FROM embeddings),
+el AS (SELECT ed.w, a.label AS cs, b.label AS cd FROM ed JOIN lab a ON a.vec_id = ed.src JOIN lab b ON b.vec_id = ed.dst),
+m AS (SELECT sum(w) AS m FROM ed),
+inn AS (SELECT cs AS c, sum(w) AS in_c FROM el WHERE cs = cd GROUP BY cs),
+deg AS (SELECT c, sum(w) AS tot_c FROM (SELECT cs AS c, w FROM el UNION ALL SELECT cd AS c, w FROM el) GROUP BY c)
+SELECT {r6('sum(coalesce(in_c, 0.0) / m.m - pow(tot_c / (2.0 * m.m), 2))')} AS q FROM deg LEFT JOIN inn USING (c), m""")
+def g10_modularity(spark, sf):
+    nn = _knn(spark, sf)
+    edges = nn.select(F.least("qid", "nn_id").alias("src"), F.greatest("qid", "nn_id").alias("dst"),
+                      (1.0 - F.col("dist")).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    assign = _emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
+    return finish(G.modularity(edges, assign))
+
+
+@query("g12_cluster_report", f"""
+WITH {FRAME_SQL},
+sz AS (SELECT label AS cluster, count(*)::BIGINT AS size FROM nd GROUP BY label),
+ec AS (SELECT nd.label AS cluster, e.entity, count(*) AS cnt FROM nd, unnest(nd.ents) AS e(entity) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, entity ASC) AS rank FROM ec)
+SELECT sz.cluster, sz.size, rk.rank::BIGINT AS rank, rk.entity FROM sz JOIN rk USING (cluster) WHERE rk.rank <= 5""")
+def g12_cluster_report(spark, sf):
+    nodes = _nodes(spark, sf)
+    lab = _emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    return G.cluster_report(nodes.join(lab, "id"))
+
+
+@query("g13_large_groups", """
+SELECT label, vec_id FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) > 20)""")
+def g13_large_groups(spark, sf):
+    return G.large_groups(_emb(spark, sf).select("label", "vec_id"), "label")
