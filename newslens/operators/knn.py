@@ -1,42 +1,47 @@
-"""Exact k-nearest-neighbour join without a cross join.
+"""Exact k-nearest-neighbour join without a cross join.
 
 Plan:
 
 1. *Pivots*: the ``C`` reference rows with the smallest md5 key (a uniform
    sample, so dense regions get more pivots); ``C = ceil(n / cell_size)``
-   capped at ``max_cells``, so the pivot array has a proven size bound and is
-   shipped to tasks as a scalar subquery.
-2. *Cells*: every reference row goes to its nearest pivot; per cell the radius
-   (max distance to the pivot) and size form a small table (<= C rows per group).
-3. *Round 1*: each query probes its nearest cells until they hold > k rows,
-   joins them on the cell id (an equi-join) and keeps its k best candidates.
-   That result is checkpointed to the shared checkpoint directory.
-4. *Round 2*: by the triangle inequality a row r of cell c satisfies
-   d(q, r) >= d(q, pivot_c) - radius_c. Every cell whose bound does not exceed
-   the query's current k-th distance (plus the rounding margin) is probed; the
-   union of both rounds is ranked again. The result equals brute force
+   capped at ``max_cells``. The C x d pivot matrix has that proven bound and is
+   shipped to tasks as a broadcast variable.
+2. *Cells*: every reference row goes to its nearest pivot (``mapInPandas``,
+   NumPy). Per (group, cell) the radius and size form a small table.
+3. *Round 1*: each query probes its nearest cells until they hold >= k rows;
+   the best k candidates are kept (persisted for reuse).
+4. *Round 2*: by the triangle inequality a row r in cell c has
+   d(q, r) >= d(q, pivot_c) - radius_c, so only cells whose bound does not
+   exceed the query's k-th distance (plus the rounding margin) are probed.
+   The union of both rounds is ranked again; the result equals brute force
    ordered by (distance rounded to 6 places, id).
 
+Distances for a probe are computed in bounded blocks: rows probing a cell and
+the cell's members are cut into chunks of at most ``block`` rows, keyed by
+(group, cell, query chunk, member block), and a cogroup hands each block to a
+NumPy kernel that returns only the k best per query. No pair list is ever
+materialised and no group is larger than ``block`` x ``block``.
+
 Distances run in Euclidean space: raw vectors for ``metric="euclidean"``,
-L2-normalised vectors for ``metric="cosine"`` (where ||a-b||^2 = 2 - 2 cos).
+L2-normalised vectors for ``metric="cosine"`` (where ||a-b||^2 = 2 - 2 cos);
+the reported ``dist`` is 1 - cos or the Euclidean distance.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.operators.common import hash_key, maybe_broadcast
+from newslens.operators.common import hash_key
 from newslens.session import ensure_checkpoint_dir
 
 ROUND_MARGIN = 1e-6
-
-
-def to_double(vec) -> Column:
-    c = F.col(vec) if isinstance(vec, str) else vec
-    return c.cast("array<double>")
+LB_SLACK = 1e-6
+MAX_STATS_ROWS = 2_000_000
 
 
 def l2_normalise(v: Column) -> Column:
@@ -44,102 +49,168 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def edist(a: Column, b: Column) -> Column:
-    return F.sqrt(F.greatest(sq_dist(a, b), F.lit(0.0)))
-
-
 def _prep(df: DataFrame, id_col: str, vec_col: str, metric: str, group_col: str | None) -> DataFrame:
-    v = to_double(vec_col)
+    v = F.col(vec_col).cast("array<double>")
     if metric == "cosine":
         v = l2_normalise(v)
-    g = F.col(group_col) if group_col else F.lit(0)
-    return df.select(F.col(id_col).alias("_id"), v.alias("_v"), g.alias("_g"))
+    g = F.col(group_col).cast("bigint") if group_col else F.lit(0).cast("bigint")
+    return df.select(F.col(id_col).cast("bigint").alias("_id"), v.alias("_v"), g.alias("_g"))
 
 
-def _threshold(d: Column, metric: str) -> Column:
-    """Euclidean radius that covers every candidate tying with user distance ``d`` after rounding."""
-    if metric == "cosine":
-        return F.sqrt(F.greatest(2.0 * (d + ROUND_MARGIN), F.lit(0.0)))
-    return d + ROUND_MARGIN
+def _mat(col: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(x, dtype=np.float64) for x in col]) if len(col) else np.zeros((0, 0))
+
+
+def _sq_to(V: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances (expansion form, clipped at 0) - for bounds and screening only."""
+    s = (V * V).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * V @ P.T
+    return np.maximum(s, 0.0)
 
 
 def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 30, id_col: str = "id",
         vec_col: str = "vec", metric: str = "cosine", group_col: str | None = None,
-        exclude_self: bool = True, cell_size: int = 64, max_cells: int = 4096, seed: int = 42) -> DataFrame:
-    """(qid, rank, nn_id, dist) with rank 1..k; ``dist`` is 1 - cos or Euclidean.
+        exclude_self: bool = True, cell_size: int = 64, max_cells: int = 4096, block: int = 512,
+        seed: int = 42) -> DataFrame:
+    """(qid, rank, nn_id, dist) with rank 1..k.
 
     ``group_col`` restricts neighbours to the query's own group (same class).
     Ties are ordered by (round(dist, 6), nn_id).
     """
     spark = queries.sparkSession
+    sc = spark.sparkContext
     ensure_checkpoint_dir(spark)
     same = refs is None
     refs = queries if refs is None else refs
     q = _prep(queries, id_col, vec_col, metric, group_col)
     r = _prep(refs, id_col, vec_col, metric, group_col)
+    drop_self = bool(exclude_self and same)
+    need = k + (1 if drop_self else 0)
 
+    # 1. pivots: a bounded hash sample of the reference rows
     n_ref = r.count()
     n_cells = max(1, min(max_cells, math.ceil(n_ref / cell_size)))
-    # one-row pivot table, attached by a broadcast equi-join on a constant key (size <= max_cells x dim)
-    piv = (r.withColumn("_h", hash_key("_id", seed)).orderBy("_h", "_id").limit(n_cells)
-           .agg(F.collect_list(F.struct(F.col("_id").alias("pid"), F.col("_v").alias("pv"))).alias("_piv"))
-           .withColumn("_pk", F.lit(0)))
-    piv = F.broadcast(piv)
-
-    def pivot_dists(v: Column) -> Column:
-        return F.transform(F.col("_piv"), lambda p, i: F.struct(edist(v, p["pv"]).alias("d"), i.alias("cell")))
-
-    rc = r.withColumn("_pk", F.lit(0)).join(piv, "_pk").withColumn("_near", F.array_min(pivot_dists(F.col("_v"))))
-    rc = rc.select("_id", "_v", "_g", F.col("_near.cell").alias("cell"), F.col("_near.d").alias("dcell"))
-    rc = rc.checkpoint()  # cell assignment is reused by both rounds
+    piv = r.withColumn("_h", hash_key("_id", seed)).orderBy("_h", "_id").limit(n_cells).select("_v").collect()
+    P = np.array([np.asarray(row[0], dtype=np.float64) for row in piv])
+    bP = sc.broadcast(P)
+
+    # 2. cell of every reference row
+    def assign(it):
+        Pv = bP.value
+        for pdf in it:
+            if pdf.empty:
+                continue
+            d = np.sqrt(_sq_to(_mat(pdf["_v"]), Pv))
+            cell = d.argmin(1)
+            yield pd.DataFrame({"_id": pdf["_id"].to_numpy(), "_v": pdf["_v"], "_g": pdf["_g"].to_numpy(),
+                                "cell": cell.astype(np.int32), "dcell": d[np.arange(len(cell)), cell]})
+
+    # persisted, not checkpointed: lineage is one scan deep, so a lost block is simply recomputed
+    rc = r.mapInPandas(assign, "_id bigint, _v array<double>, _g bigint, cell int, dcell double").persist()
     stats = rc.groupBy("_g", "cell").agg(F.max("dcell").alias("radius"), F.count(F.lit(1)).alias("size"))
-    stats_g = maybe_broadcast(stats.groupBy("_g").agg(
-        F.collect_list(F.struct("cell", "radius", "size")).alias("_st")))
-
-    need = k + (1 if (exclude_self and same) else 0)
-
-    def with_cells(df: DataFrame) -> DataFrame:
-        """Per query: every cell of its group with pivot distance and lower bound (recomputed, not stored)."""
-        d = df.withColumn("_pk", F.lit(0)).join(piv, "_pk").join(stats_g, "_g")
-        pd_ = F.transform(pivot_dists(F.col("_v")), lambda x: x["d"])
-        cells = F.transform(F.col("_st"), lambda s: F.struct(
-            F.element_at(pd_, s["cell"] + 1).alias("dp"), s["cell"].alias("cell"), s["size"].alias("size"),
-            F.greatest(F.element_at(pd_, s["cell"] + 1) - s["radius"], F.lit(0.0)).alias("lb")))
-        d = d.withColumn("_cells", F.array_sort(cells)).drop("_piv", "_st", "_pk")
-        # round-1 cells: nearest by pivot distance until they hold >= need rows
-        acc0 = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("c"))
-        first = F.aggregate(F.col("_cells"), acc0, lambda a, s: F.when(
-            a["n"] < need, F.struct((a["n"] + s["size"]).alias("n"), F.concat(a["c"], F.array(s["cell"])).alias("c"))
-        ).otherwise(a))
-        return d.withColumn("_c1", first["c"])
-
-    def probe(qcells: DataFrame) -> DataFrame:
-        j = qcells.join(rc.select(F.col("_id").alias("nn_id"), F.col("_v").alias("_rv"), "_g", "cell"), ["_g", "cell"])
-        if exclude_self and same:
-            j = j.filter(F.col("_id") != F.col("nn_id"))
-        sq = sq_dist(F.col("_v"), F.col("_rv"))
-        d = sq / 2.0 if metric == "cosine" else F.sqrt(sq)
-        return j.select(F.col("_id").alias("qid"), "nn_id", d.alias("dist"))
+    st_rows = stats.limit(MAX_STATS_ROWS + 1).collect()  # <= groups x max_cells rows
+    if len(st_rows) > MAX_STATS_ROWS:
+        raise ValueError("too many (group, cell) pairs for the k-NN cell table; lower max_cells")
+    groups: dict[int, list] = {}
+    for row in st_rows:
+        groups.setdefault(row["_g"], []).append((row["cell"], row["radius"], row["size"]))
+    by_group = {g: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v]))
+                for g, v in groups.items()}
+    bS = sc.broadcast(by_group)
+
+    def cell_plan(g: int, dp_all: np.ndarray):
+        cells, radius, size = bS.value.get(g, (np.zeros(0, int), np.zeros(0), np.zeros(0, int)))
+        dp = dp_all[cells]
+        order = np.lexsort((cells, dp))
+        csum = np.cumsum(size[order])
+        n_first = int(np.searchsorted(csum, need) + 1) if len(csum) else 0
+        first = cells[order[:n_first]]
+        lb = np.maximum(dp - radius - LB_SLACK, 0.0)
+        return first, cells, lb
+
+    def make_round(second: bool):
+        def run(it):
+            Pv = bP.value
+            for pdf in it:
+                if pdf.empty:
+                    continue
+                D = np.sqrt(_sq_to(_mat(pdf["_v"]), Pv))
+                out_id, out_v, out_g, out_c = [], [], [], []
+                dks = pdf["dk"] if second else [None] * len(pdf)
+                for i, (qid, v, g, dk) in enumerate(zip(pdf["_id"], pdf["_v"], pdf["_g"], dks)):
+                    first, cells, lb = cell_plan(g, D[i])
+                    if not second:
+                        chosen = first
+                    else:
+                        if dk is None or (isinstance(dk, float) and math.isnan(dk)):
+                            thr = np.inf
+                        elif metric == "cosine":
+                            thr = math.sqrt(max(2.0 * (dk + ROUND_MARGIN), 0.0))
+                        else:
+                            thr = dk + ROUND_MARGIN
+                        done = set(int(c) for c in first)
+                        chosen = [c for c, b in zip(cells, lb) if b <= thr and int(c) not in done]
+                    for c in chosen:
+                        out_id.append(qid); out_v.append(v); out_g.append(g); out_c.append(int(c))
+                yield pd.DataFrame({"_id": np.array(out_id, dtype=np.int64), "_v": out_v,
+                                    "_g": np.array(out_g, dtype=np.int64), "cell": np.array(out_c, dtype=np.int32)})
+        return run
+
+    probe_schema = "_id bigint, _v array<double>, _g bigint, cell int"
+
+    def kernel(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": np.zeros(0, np.int64), "nn_id": np.zeros(0, np.int64), "dist": np.zeros(0)})
+        if qpdf.empty or rpdf.empty:
+            return empty
+        Q, R = _mat(qpdf["_v"]), _mat(rpdf["_rv"])
+        qid, rid = qpdf["_id"].to_numpy(), rpdf["nn_id"].to_numpy()
+        S = _sq_to(Q, R)
+        if drop_self:
+            S[qid[:, None] == rid[None, :]] = np.inf
+        kk = min(k, S.shape[1])
+        part = np.partition(S, kk - 1, axis=1)[:, kk - 1]
+        out_q, out_r, out_d = [], [], []
+        for i in range(S.shape[0]):
+            lim = part[i] + 1e-9 if np.isfinite(part[i]) else np.inf
+            cand = np.nonzero(np.isfinite(S[i]) & (S[i] <= lim))[0]
+            if len(cand) == 0:
+                continue
+            diff = R[cand] - Q[i]
+            sq = (diff * diff).sum(1)
+            d = sq / 2.0 if metric == "cosine" else np.sqrt(sq)
+            order = np.lexsort((rid[cand], np.round(d, 6)))[:k]
+            out_q.append(np.full(len(order), qid[i])); out_r.append(rid[cand][order]); out_d.append(d[order])
+        if not out_q:
+            return empty
+        return pd.DataFrame({"qid": np.concatenate(out_q).astype(np.int64),
+                             "nn_id": np.concatenate(out_r).astype(np.int64), "dist": np.concatenate(out_d)})
+
+    members = rc.select(F.col("_id").alias("nn_id"), F.col("_v").alias("_rv"), "_g", "cell")
+
+    def probe(p: DataFrame) -> DataFrame:
+        """Blocked distance join of probe rows (query, cell) with the cell members."""
+        loads = p.groupBy("_g", "cell").agg(F.count(F.lit(1)).alias("nq")).join(
+            stats.select("_g", "cell", F.col("size").alias("nm")), ["_g", "cell"])
+        # one row per (group, cell): bounded by len(st_rows), checked above
+        loads = F.broadcast(loads.select("_g", "cell", F.ceil(F.col("nq") / block).cast("int").alias("nqc"),
+                                         F.ceil(F.col("nm") / block).cast("int").alias("nmb")))
+        pb = p.join(loads, ["_g", "cell"]).select(
+            "_id", "_v", "_g", "cell", F.pmod(F.xxhash64("_id"), F.col("nqc")).cast("int").alias("qc"),
+            F.explode(F.sequence(F.lit(0), F.col("nmb") - 1)).alias("mb"))
+        mbk = members.join(loads, ["_g", "cell"]).select(
+            "nn_id", "_rv", "_g", "cell", F.explode(F.sequence(F.lit(0), F.col("nqc") - 1)).alias("qc"),
+            F.pmod(F.xxhash64("nn_id"), F.col("nmb")).cast("int").alias("mb"))
+        keys = ["_g", "cell", "qc", "mb"]
+        return pb.groupBy(*keys).cogroup(mbk.groupBy(*keys)).applyInPandas(
+            kernel, "qid bigint, nn_id bigint, dist double")
 
     def top(c: DataFrame) -> DataFrame:
         w = Window.partitionBy("qid").orderBy(F.round("dist", 6), "nn_id")
         return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    q1 = with_cells(q)
-    r1 = top(probe(q1.select("_id", "_v", "_g", F.explode("_c1").alias("cell")))).checkpoint()
+    p1 = q.mapInPandas(make_round(False), probe_schema).persist()  # read by the load count and the join
+    r1 = top(probe(p1)).persist()
     kth = r1.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("dk"))
-    q2 = with_cells(q.join(kth, q["_id"] == kth["qid"], "left").drop("qid"))
-    thr = F.when(F.col("dk").isNull(), F.lit(float("inf"))).otherwise(_threshold(F.col("dk"), metric))
-    c2 = F.transform(F.filter("_cells", lambda s: (s["lb"] <= thr) & ~F.array_contains(F.col("_c1"), s["cell"])),
-                     lambda s: s["cell"])
-    r2 = probe(q2.select("_id", "_v", "_g", F.explode(c2).alias("cell")))
-    out = top(r1.select("qid", "nn_id", "dist").unionByName(r2))
+    q2 = q.join(kth, q["_id"] == kth["qid"], "left").drop("qid")
+    p2 = q2.mapInPandas(make_round(True), probe_schema).persist()
+    out = top(r1.select("qid", "nn_id", "dist").unionByName(probe(p2)))
     return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "nn_id", "dist")
