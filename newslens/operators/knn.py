@@ -151,7 +151,7 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 30, id_col:
                         chosen = [c for c, b in zip(cells, lb) if b <= thr and int(c) not in done]
                     for c in chosen:
                         out_id.append(qid); out_v.append(v); out_g.append(g); out_c.append(int(c))
-                yield pd.DataFrame({"_id": np.array(out_id, dtype=np.int64), "_v": out_v,
+                yield pd.DataFrame({"_id": np.array(out_id, dtype=np.int64), "_v": pd.Series(out_v, dtype=object),
                                     "_g": np.array(out_g, dtype=np.int64), "cell": np.array(out_c, dtype=np.int32)})
         return run
 

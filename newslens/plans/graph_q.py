@@ -130,3 +130,85 @@ def g12_cluster_report(spark, sf):
 SELECT label, vec_id FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) > 20)""")
 def g13_large_groups(spark, sf):
     return G.large_groups(_emb(spark, sf).select("label", "vec_id"), "label")
+
+
+# ---------------- embeddings, reduction, neighbour resampling ----------------
+
+from newslens.operators import neighbours as NB  # noqa: E402
+from newslens.operators import vectors as VE  # noqa: E402
+from newslens.operators.balance import folds as hash_folds  # noqa: E402
+from newslens.operators.topics import by_doc, top_topics  # noqa: E402
+
+LV_SQL = """
+lv AS (SELECT e.vec_id, l.quality AS label, list_transform(e.embedding, lambda x: x::DOUBLE) AS v
+       FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id)"""
+
+
+def _euclid_rank_sql(src: str, qfilter: str = "TRUE", rfilter: str = "TRUE", self_ok: bool = False) -> str:
+    cond = "TRUE" if self_ok else "a.vec_id <> b.vec_id"
+    return f"""pr AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt({sq_sql('a.v', 'b.v')}) AS d
+       FROM {src} a, {src} b WHERE {cond} AND ({qfilter.replace('x.', 'a.')}) AND ({rfilter.replace('x.', 'b.')})),
+rk AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS rank FROM pr)"""
+
+
+def _lv(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("label"))
+    return _emb(spark, sf).select("vec_id", "embedding").join(lab, "vec_id")
+
+
+@query("e1_hash_embed")
+def e1_hash_embed(spark, sf):
+    e = VE.text_embeddings(documents(spark, sf))
+    return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"))
+
+
+@query("e2_topic_embed")
+def e2_topic_embed(spark, sf):
+    tops = top_topics(by_doc(documents(spark, sf)))
+    e = VE.topic_embeddings(tops)
+    return e.select("doc_id", F.size("topic_embedding").cast("bigint").alias("len"))
+
+
+@query("e3_pca")
+def e3_pca(spark, sf):
+    r = VE.pca(_emb(spark, sf), "embedding")
+    return r.select("vec_id", F.size("reduced").cast("bigint").alias("k"))
+
+
+@query("r4_smote")
+def r4_smote(spark, sf):
+    s = NB.smote(_lv(spark, sf), id_col="vec_id", vec_col="embedding", label="label")
+    return s.select("parent_id", "nn_id", "label")
+
+
+@query("r5_tomek", f"""
+WITH {LV_SQL}, {_euclid_rank_sql('lv')},
+nn1 AS (SELECT rk.i, rk.j FROM rk WHERE rank = 1),
+links AS (SELECT a.i FROM nn1 a JOIN nn1 b ON a.i = b.j AND a.j = b.i
+          JOIN lv la ON la.vec_id = a.i JOIN lv lb ON lb.vec_id = a.j WHERE la.label <> lb.label)
+SELECT vec_id FROM lv WHERE vec_id NOT IN (SELECT i FROM links)""")
+def r5_tomek(spark, sf):
+    return NB.tomek_keep(_lv(spark, sf), id_col="vec_id", vec_col="embedding", label="label").select("vec_id")
+
+
+@query("r5_enn", f"""
+WITH {LV_SQL}, {_euclid_rank_sql('lv')},
+ag AS (SELECT rk.i, bool_and(lj.label = li.label) AS ok FROM rk JOIN lv li ON li.vec_id = rk.i
+       JOIN lv lj ON lj.vec_id = rk.j WHERE rank <= 3 GROUP BY rk.i)
+SELECT i AS vec_id FROM ag WHERE ok""")
+def r5_enn(spark, sf):
+    return NB.enn_keep(_lv(spark, sf), id_col="vec_id", vec_col="embedding", label="label").select("vec_id")
+
+
+@query("r6_nearest_original", f"""
+WITH fv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+                   ((row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 3) AS fold
+            FROM embeddings),
+pr AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt({sq_sql('a.v', 'b.v')}) AS d FROM fv a, fv b WHERE a.fold = 0 AND b.fold <> 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS rank FROM pr)
+SELECT i AS vec_id, j AS orig_id FROM rk WHERE rank = 1""")
+def r6_nearest_original(spark, sf):
+    f = hash_folds(_emb(spark, sf).select("vec_id", "embedding"), id_col="vec_id")
+    syn = f.filter(F.col("fold") == 0)
+    orig = f.filter(F.col("fold") != 0)
+    return NB.nearest_original(syn, orig, id_col="vec_id", vec_col="embedding")
