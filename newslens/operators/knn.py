@@ -81,8 +81,9 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 30, id_col:
     ensure_checkpoint_dir(spark)
     same = refs is None
     refs = queries if refs is None else refs
-    q = _prep(queries, id_col, vec_col, metric, group_col)
-    r = _prep(refs, id_col, vec_col, metric, group_col)
+    # the inputs are read by several jobs below; keep one prepared copy
+    r = _prep(refs, id_col, vec_col, metric, group_col).persist()
+    q = r if same else _prep(queries, id_col, vec_col, metric, group_col).persist()
     drop_self = bool(exclude_self and same)
     need = k + (1 if drop_self else 0)
 
