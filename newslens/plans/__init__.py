@@ -6,7 +6,7 @@ import importlib
 
 from newslens.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("text_q", "nlp_q", "clean_q", "extract_q", "labels_q", "graph_q", "model_q")
+_MODULES = ("text_q", "nlp_q", "clean_q", "extract_q", "labels_q", "graph_q", "model_q", "stream_q")
 
 
 def _load():
