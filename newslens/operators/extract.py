@@ -13,6 +13,7 @@ headline) rows; candidates joined to article pages on link -> body.
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -115,33 +116,43 @@ def join_bodies(cands: DataFrame, bodies: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 # --- fixed values: per-site selectors -------------------------------------------------------
-# cover: list of steps; each step finds (tag, class or None, needs_href) inside the previous match.
-# "headline" is the selector whose text is the headline ("self" = the link itself).
+# cover: steps, each (tag, class or None, needs href, "all" | "first") searched inside the previous match;
+#        "headline": selector whose text is the headline, or "self" (the link text).
+# body:  "container": (tag, class, attrs, "all" | "first") or None; a missing container gives N/A;
+#        "lead": (tag, class, child tag or None, suffix) text put before the paragraphs;
+#        "p": (tag, class or None); each paragraph is p_prefix + text + p_suffix, or, with a
+#        "joiner", the stripped texts joined by it (no paragraph -> N/A).
 SITE_RULES = [
-    {"newspaper": "EL MUNDO", "cover": [["div", "ue-c-cover-content__main", False],
-                                        ["a", "ue-c-cover-content__link", True]],
-     "headline": ["h2", "ue-c-cover-content__headline"], "skip_missing_headline": True,
-     "body_container": ["div", "ue-c-article__body", {"data-section": "articleBody"}], "body_p": "p",
-     "lead": None, "joiner": " ", "prefix": "", "p_suffix": "", "strip": True},
-    {"newspaper": "EL MUNDO", "cover": [["div", "ue-c-cover-content__footer", False],
-                                        ["li", "ue-c-cover-content__related-link", False], ["a", None, True]],
-     "headline": "self", "body_container": ["div", "ue-c-article__body", {"data-section": "articleBody"}],
-     "body_p": "p", "lead": None, "joiner": " ", "prefix": "", "p_suffix": "", "strip": True},
-    {"newspaper": "EL DIARIO", "cover": [["div", "md__new", False], ["h2", "ni-title", False], ["a", None, True]],
-     "headline": "self", "body_container": None, "body_p": ["p", "article-text"], "lead": ["ul", "footer", "h2"],
-     "joiner": "", "prefix": "\n", "p_suffix": "", "strip": False},
-    {"newspaper": "EL PAIS", "cover": [["article", None, False], ["h2", "c_t", False], ["a", None, True]],
-     "headline": "self", "body_container": None, "body_p": "p", "lead": ["h2", "a_st"],
-     "joiner": "", "prefix": "\n", "p_suffix": "\n", "strip": False},
-    {"newspaper": "EL PUBLICO", "cover": [["article", None, False], ["h2", "title", False], ["a", None, True]],
-     "headline": "self", "body_container": None, "body_p": "p", "lead": None,
-     "joiner": "", "prefix": "\n", "p_suffix": "", "strip": False},
-    {"newspaper": "LA RAZON", "cover": [["h2", "article__title", False], ["a", None, True]],
-     "headline": "self", "body_container": ["div", "article-main__content", {}], "body_p": "p", "lead": None,
-     "joiner": "", "prefix": "", "p_suffix": "", "strip": False},
-    {"newspaper": "EL CONFIDENCIAL", "cover": [["article", None, False], ["a", None, True]],
-     "headline": "self", "body_container": ["div", "news-body-complete", {}], "body_p": "p", "lead": None,
-     "joiner": "", "prefix": "", "p_suffix": "", "strip": False, "own_domain": "https://www.elconfidencial.com"},
+    {"newspaper": "EL MUNDO", "cover": [["div", "ue-c-cover-content__main", False, "all"],
+                                        ["a", "ue-c-cover-content__link", True, "first"]],
+     "headline": ["h2", "ue-c-cover-content__headline"],
+     "container": ["div", "ue-c-article__body", {"data-section": "articleBody"}, "all"], "lead": None,
+     "p": ["p", None], "joiner": " ", "p_prefix": "", "p_suffix": "", "strip": True},
+    {"newspaper": "EL MUNDO", "cover": [["div", "ue-c-cover-content__footer", False, "all"],
+                                        ["li", "ue-c-cover-content__related-link", False, "all"],
+                                        ["a", None, True, "first"]],
+     "headline": "self",
+     "container": ["div", "ue-c-article__body", {"data-section": "articleBody"}, "all"], "lead": None,
+     "p": ["p", None], "joiner": " ", "p_prefix": "", "p_suffix": "", "strip": True},
+    {"newspaper": "EL DIARIO", "cover": [["div", "md__new", False, "all"], ["h2", "ni-title", False, "first"],
+                                         ["a", None, False, "first"]],
+     "headline": "self", "container": None, "lead": ["ul", "footer", "h2", ""],
+     "p": ["p", "article-text"], "joiner": None, "p_prefix": "\n", "p_suffix": "", "strip": False},
+    {"newspaper": "EL PAIS", "cover": [["article", None, False, "all"], ["h2", "c_t", False, "first"],
+                                       ["a", None, False, "first"]],
+     "headline": "self", "container": None, "lead": ["h2", "a_st", None, "\n"],
+     "p": ["p", None], "joiner": None, "p_prefix": "", "p_suffix": "\n", "strip": False},
+    {"newspaper": "EL PUBLICO", "cover": [["article", None, False, "all"], ["h2", "title", False, "first"],
+                                          ["a", None, False, "first"]],
+     "headline": "self", "container": None, "lead": None,
+     "p": ["p", None], "joiner": None, "p_prefix": "\n", "p_suffix": "", "strip": False},
+    {"newspaper": "LA RAZON", "cover": [["h2", "article__title", False, "all"], ["a", None, False, "first"]],
+     "headline": "self", "container": ["div", "article-main__content", {}, "first"], "lead": None,
+     "p": ["p", None], "joiner": None, "p_prefix": "\n", "p_suffix": "", "strip": False},
+    {"newspaper": "EL CONFIDENCIAL", "cover": [["article", None, False, "all"], ["a", None, False, "first"]],
+     "headline": "self", "container": ["div", "news-body-complete", {}, "first"], "lead": None,
+     "p": ["p", None], "joiner": None, "p_prefix": "\n", "p_suffix": "", "strip": False,
+     "own_domain": "https://www.elconfidencial.com"},
 ]
 # --- end fixed values -----------------------------------------------------------------------
 
@@ -217,14 +228,12 @@ def parse_html(html: str) -> _Node:
 def cover_candidates(html: str, base: str, rule: dict) -> list[tuple[str, str]]:
     """(link, headline) pairs of one cover page under one rule."""
     root = parse_html(html)
-    steps = rule["cover"]
     matches = [root]
-    for i, (tag, cls, href) in enumerate(steps):
+    for tag, cls, href, how in rule["cover"]:
         nxt = []
         for m in matches:
             found = m.find_all(tag, cls, None, href)
-            # the first step enumerates every container; later steps take the first match
-            nxt.extend(found if i == 0 or tag == "li" else found[:1])
+            nxt.extend(found if how == "all" else found[:1])
         matches = nxt
     out = []
     for a in matches:
@@ -248,33 +257,29 @@ def cover_candidates(html: str, base: str, rule: dict) -> list[tuple[str, str]]:
 
 
 def article_body(html: str, rule: dict) -> str:
-    """Body under one site rule; 'N/A' when the container is missing."""
+    """Body of one article page under one site rule ('N/A' when the rule cannot apply)."""
     root = parse_html(html)
-    strip = rule["strip"]
-    body = rule["prefix"] if rule["lead"] is None else ""
-    if rule["lead"] is not None:
-        lead = rule["lead"]
-        if len(lead) == 3:  # container.class -> tag
-            c = root.find(lead[0], lead[1])
-            h = c.find(lead[2]) if c is not None else None
-        else:
-            h = root.find(lead[0], lead[1])
-        body = (h.text(False) if h is not None else "") + "\n"
-    ptag = rule["body_p"]
-    ptag, pcls = (ptag, None) if isinstance(ptag, str) else (ptag[0], ptag[1])
-    if rule["body_container"] is not None:
-        tag, cls, attrs = rule["body_container"]
-        divs = root.find_all(tag, cls, attrs)
-        if not divs:
+    body = ""
+    if rule.get("lead"):
+        tag, cls, child, suffix = rule["lead"]
+        node = root.find(tag, cls)
+        if node is not None and child:
+            node = node.find(child)
+            if node is None:
+                return NOT_FOUND  # container present, heading missing
+        body = (node.text(False) if node is not None else "") + suffix
+    scopes = [root]
+    if rule.get("container"):
+        tag, cls, attrs, how = rule["container"]
+        found = root.find_all(tag, cls, attrs)
+        if not found:
             return NOT_FOUND
-        ps = [p.text(strip) for d in divs for p in d.find_all(ptag, pcls)]
-        if rule["joiner"] == " ":
-            return " ".join(ps) if ps else NOT_FOUND
-        return body + "".join(p + rule["p_suffix"] for p in ps)
-    ps = [p.text(strip) for p in root.find_all(ptag, pcls)]
-    if rule["newspaper"] == "EL DIARIO":
-        return body + "".join("\n" + p for p in ps)
-    return body + "".join(p + rule["p_suffix"] for p in ps)
+        scopes = found if how == "all" else found[:1]
+    ptag, pcls = rule["p"]
+    texts = [p.text(rule["strip"]) for sc in scopes for p in sc.find_all(ptag, pcls)]
+    if rule.get("joiner") is not None:
+        return rule["joiner"].join(texts) if texts else NOT_FOUND
+    return body + "".join(rule["p_prefix"] + t + rule["p_suffix"] for t in texts)
 
 
 def extract_candidates(pages: DataFrame, rules: list[dict] | None = None, newspaper_col: str | None = None) -> DataFrame:
@@ -295,8 +300,7 @@ def extract_candidates(pages: DataFrame, rules: list[dict] | None = None, newspa
             for row in pdf.itertuples(index=False):
                 url, html = row[0], row[1]
                 site = row[2] if newspaper_col else None
-                import re as _re
-                m = _re.match(BASE_RE, url or "")
+                m = re.match(BASE_RE, url or "")
                 base = m.group(1) if m else ""
                 for r in rs:
                     if site is not None and r["newspaper"] != site:
@@ -309,28 +313,21 @@ def extract_candidates(pages: DataFrame, rules: list[dict] | None = None, newspa
 
 
 def nav_rule(newspaper: str) -> dict:
-    """Selector rule for the fixture pages' cover list: nav -> a[href], headline = link text."""
-    return {"newspaper": newspaper, "cover": [["nav", None, False], ["a", None, True]], "headline": "self"}
+    """Selector rule for the fixture pages' cover list: every nav link, headline = link text."""
+    return {"newspaper": newspaper, "cover": [["nav", None, False, "all"], ["a", None, True, "all"]], "headline": "self"}
 
 
 def extract_nav_candidates(pages: DataFrame) -> DataFrame:
-    """Fixture cover rule applied per page with the page host as newspaper."""
+    """The fixture cover rule applied to every page, newspaper = page host."""
     def run(batches):
-        import re as _re
         for pdf in batches:
             out = []
             for url, html in zip(pdf["url"], pdf["html"]):
-                m = _re.match(BASE_RE, url or "")
-                base = m.group(1) if m else ""
-                hm = _re.match(HOST_RE, url or "")
+                m = re.match(BASE_RE, url or "")
+                hm = re.match(HOST_RE, url or "")
                 rule = nav_rule(hm.group(1) if hm else "")
-                root = parse_html(html)
-                for nav in root.find_all("nav"):
-                    for a in nav.find_all("a", None, None, True):
-                        link = a.attrs["href"]
-                        if link.startswith("/"):
-                            link = base + link
-                        out.append((rule["newspaper"], link, a.text(True)))
+                for link, headline in cover_candidates(html, m.group(1) if m else "", rule):
+                    out.append((rule["newspaper"], link, headline))
             yield pd.DataFrame(out, columns=["newspaper", "link", "headline"])
 
     return pages.select("url", "html").mapInPandas(run, "newspaper string, link string, headline string")
