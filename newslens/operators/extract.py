@@ -29,7 +29,6 @@ H1_RE = r"(?s)<h1[^>]*>(.*?)</h1>"
 ARTICLE_RE = r"(?s)<article[^>]*>(.*?)</article>"
 P_OPEN_RE = r"<p(?:\s[^>]*)?>"
 NAV_RE = r"(?s)<nav[^>]*>(.*?)</nav>"
-NAV_ANCHOR_RE = r'(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'
 NOT_FOUND = "N/A"
 
 

@@ -8,7 +8,7 @@ from newslens.functions import text as T
 from newslens.functions.lexicons import POS_LOOKUP
 from newslens.operators import textstats as S
 from newslens.operators import topics as TP
-from newslens.plans.registry import (ALPHA, SENT, TOKEN, WORD, finish, query, r6, sql_div, sql_lemmas,
+from newslens.plans.registry import (ALPHA, WORD, finish, query, r6, sql_div, sql_lemmas,
                                      sql_sentences, sql_str, sql_tokens, stop_list)
 from newslens.sources.tables import documents
 
