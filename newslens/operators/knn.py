@@ -117,43 +117,53 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 30, id_col:
     by_group = {g: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v]))
                 for g, v in groups.items()}
     bS = sc.broadcast(by_group)
-
-    def cell_plan(g: int, dp_all: np.ndarray):
-        cells, radius, size = bS.value.get(g, (np.zeros(0, int), np.zeros(0), np.zeros(0, int)))
-        dp = dp_all[cells]
-        order = np.lexsort((cells, dp))
-        csum = np.cumsum(size[order])
-        n_first = int(np.searchsorted(csum, need) + 1) if len(csum) else 0
-        first = cells[order[:n_first]]
-        lb = np.maximum(dp - radius - LB_SLACK, 0.0)
-        return first, cells, lb
+    # the collected (bounded) statistics as a local table, so probes do not re-aggregate rc
+    sizes = spark.createDataFrame([(int(r["_g"]), int(r["cell"]), int(r["size"])) for r in st_rows],
+                                  "_g bigint, cell int, nm bigint")
 
     def make_round(second: bool):
+        """mapInPandas body: one output row per (query, cell to probe), vectorised per group of a batch."""
         def run(it):
             Pv = bP.value
             for pdf in it:
                 if pdf.empty:
                     continue
-                D = np.sqrt(_sq_to(_mat(pdf["_v"]), Pv))
-                out_id, out_v, out_g, out_c = [], [], [], []
-                dks = pdf["dk"] if second else [None] * len(pdf)
-                for i, (qid, v, g, dk) in enumerate(zip(pdf["_id"], pdf["_v"], pdf["_g"], dks)):
-                    first, cells, lb = cell_plan(g, D[i])
+                D = np.sqrt(_sq_to(_mat(pdf["_v"]), Pv))  # batch x C pivot distances
+                gs = pdf["_g"].to_numpy()
+                rows, cols = [], []
+                for g in np.unique(gs):
+                    idx = np.flatnonzero(gs == g)
+                    cells, radius, size = bS.value.get(int(g), (np.zeros(0, int), np.zeros(0), np.zeros(0, int)))
+                    if len(cells) == 0:
+                        continue
+                    dp = D[np.ix_(idx, cells)]
+                    order = np.lexsort((np.broadcast_to(cells, dp.shape), dp), axis=1)
+                    csum = np.cumsum(size[order], axis=1)
+                    n_first = np.minimum((csum < need).sum(axis=1) + 1, len(cells))
+                    first = np.arange(len(cells))[None, :] < n_first[:, None]  # in sorted order
+                    first_mask = np.zeros_like(first)
+                    np.put_along_axis(first_mask, order, first, axis=1)
                     if not second:
-                        chosen = first
+                        take = first_mask
                     else:
-                        if dk is None or (isinstance(dk, float) and math.isnan(dk)):
-                            thr = np.inf
-                        elif metric == "cosine":
-                            thr = math.sqrt(max(2.0 * (dk + ROUND_MARGIN), 0.0))
+                        dk = pdf["dk"].to_numpy(dtype=np.float64, na_value=np.nan)[idx]
+                        if metric == "cosine":
+                            thr = np.sqrt(np.maximum(2.0 * (dk + ROUND_MARGIN), 0.0))
                         else:
                             thr = dk + ROUND_MARGIN
-                        done = set(int(c) for c in first)
-                        chosen = [c for c, b in zip(cells, lb) if b <= thr and int(c) not in done]
-                    for c in chosen:
-                        out_id.append(qid); out_v.append(v); out_g.append(g); out_c.append(int(c))
-                yield pd.DataFrame({"_id": np.array(out_id, dtype=np.int64), "_v": pd.Series(out_v, dtype=object),
-                                    "_g": np.array(out_g, dtype=np.int64), "cell": np.array(out_c, dtype=np.int32)})
+                        thr = np.where(np.isnan(dk), np.inf, thr)
+                        lb = np.maximum(dp - radius[None, :] - LB_SLACK, 0.0)
+                        take = (lb <= thr[:, None]) & ~first_mask
+                    r, c = np.nonzero(take)
+                    rows.append(idx[r])
+                    cols.append(cells[c])
+                if not rows:
+                    continue
+                r = np.concatenate(rows)
+                yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[r].astype(np.int64),
+                                    "_v": pd.Series(list(pdf["_v"].to_numpy()[r]), dtype=object),
+                                    "_g": gs[r].astype(np.int64),
+                                    "cell": np.concatenate(cols).astype(np.int32)})
         return run
 
     probe_schema = "_id bigint, _v array<double>, _g bigint, cell int"
@@ -189,8 +199,7 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 30, id_col:
 
     def probe(p: DataFrame) -> DataFrame:
         """Blocked distance join of probe rows (query, cell) with the cell members."""
-        loads = p.groupBy("_g", "cell").agg(F.count(F.lit(1)).alias("nq")).join(
-            stats.select("_g", "cell", F.col("size").alias("nm")), ["_g", "cell"])
+        loads = p.groupBy("_g", "cell").agg(F.count(F.lit(1)).alias("nq")).join(sizes, ["_g", "cell"])
         # one row per (group, cell): bounded by len(st_rows), checked above
         loads = F.broadcast(loads.select("_g", "cell", F.ceil(F.col("nq") / block).cast("int").alias("nqc"),
                                          F.ceil(F.col("nm") / block).cast("int").alias("nmb")))
