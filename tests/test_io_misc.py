@@ -115,3 +115,20 @@ def test_other_site_rules():
     assert X.article_body("<p> A</p><p>B</p>", publico) == "\n A\nB"
     cover = "<article><h2 class='title'><a href='/n'>N</a></h2></article><article><h2 class='title'>sin</h2></article>"
     assert X.cover_candidates(cover, "https://www.publico.es", publico) == [("https://www.publico.es/n", "N")]
+
+
+def test_remaining_cover_and_body_rules():
+    def rule(name, i=0):
+        return [r for r in X.SITE_RULES if r["newspaper"] == name][i]
+
+    diario = "<div class='md__new'><h2 class='ni-title'><a href='/d1'> Uno </a></h2></div><div class='md__new'><h2>x</h2></div>"
+    assert X.cover_candidates(diario, "https://www.eldiario.es", rule("EL DIARIO")) == [("https://www.eldiario.es/d1", "Uno")]
+    pais = ("<article><h2 class='c_t'><a href='https://elpais.com/p'>P</a></h2></article>"
+            "<article><h2 class='c_t'><span>no link</span></h2></article>")
+    assert X.cover_candidates(pais, "https://elpais.com", rule("EL PAIS")) == [("https://elpais.com/p", "P")]
+    razon = "<h2 class='article__title'><a href='/r'>R</a></h2><h2 class='article__title'>x</h2>"
+    assert X.cover_candidates(razon, "https://www.larazon.es", rule("LA RAZON")) == [("https://www.larazon.es/r", "R")]
+    conf = "<div class='news-body-complete'><p>A</p><p>B</p></div><div class='news-body-complete'><p>C</p></div>"
+    assert X.article_body(conf, rule("EL CONFIDENCIAL")) == "\nA\nB"
+    assert X.article_body("<p>A</p>", rule("EL CONFIDENCIAL")) == "N/A"
+    assert X.article_body("<div class='ue-c-article__body' data-section='other'><p>A</p></div>", rule("EL MUNDO")) == "N/A"
