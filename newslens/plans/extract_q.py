@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newslens.operators import extract as X
 from newslens.plans.registry import query, sql_str
-from newslens.sources.tables import table
+from newslens.sources.tables import pages
 
 CRAWL_DATE = "2024-01-01"
 
@@ -45,7 +45,7 @@ articles AS (SELECT md5({CLEAN.replace('url', 'k.url')}) AS id, h.headline, k.bo
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages")
+    return pages(spark, sf)
 
 
 @query("x1_candidates", f"""

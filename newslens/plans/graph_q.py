@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newslens.operators import knn as K
 from newslens.plans.registry import finish, query, r6
-from newslens.sources.tables import table
+from newslens.sources.tables import embeddings, table
 
 K_NN = 30
 
@@ -26,7 +26,7 @@ knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY
 
 
 def _emb(spark, sf):
-    return table(spark, sf, "embeddings")
+    return embeddings(spark, sf)
 
 
 def _knn(spark, sf, k=K_NN):

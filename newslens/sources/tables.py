@@ -23,8 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table whose scan yields fewer partitions than the cluster has cores.
+
+    A large table already scans in many splits (files / row groups), so this is
+    a no-op there; a small file of heavy rows (long texts, vectors) would
+    otherwise run its per-row regex or NumPy work in one task.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "embeddings"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
