@@ -46,16 +46,22 @@ def upsert_batch(out_dir: str):
 
 
 def run_feature_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                       max_files_per_trigger: int = 1, dedupe_within: str | None = None) -> None:
-    """Process every request file now available, then stop (``availableNow``)."""
+                       max_files_per_trigger: int = 1, dedupe_within: str | None = None,
+                       processing_time: str | None = None):
+    """Process every request file now available, then stop (``availableNow``); with
+    ``processing_time`` (e.g. "200 milliseconds", the reference's batching window)
+    the query keeps running as a service and is returned to the caller."""
     stream = (spark.readStream.schema(REQUEST_DDL).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     if dedupe_within:
         stream = (stream.withColumn("_ingest", F.current_timestamp()).withWatermark("_ingest", dedupe_within)
                   .dropDuplicatesWithinWatermark(["id"]).drop("_ingest"))
-    q = (feature_rows(stream).writeStream.foreachBatch(upsert_batch(out_dir))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    w = feature_rows(stream).writeStream.foreachBatch(upsert_batch(out_dir)).option("checkpointLocation", checkpoint)
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
 def latest_results(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -43,3 +43,19 @@ def test_every_query_has_entry(spark):
     qs, orc = all_queries(), all_oracles()
     assert set(orc) <= set(qs)
     assert len(qs) >= 70
+
+
+def test_stream_service_mode(spark):
+    base = scratch_path(spark, "stream-service")
+    src = os.path.join(base, "in")
+    spark.createDataFrame([(1, "Uno dos."), (2, "Tres.")], "id bigint, text string").write.parquet(src)
+    out = os.path.join(base, "out")
+    q = SF.run_feature_stream(spark, src, out, os.path.join(base, "ck"), processing_time="200 milliseconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r["id"]: r["total_words"] for r in SF.latest_results(spark, out).collect()}
+    assert got == {1: 3, 2: 2}
+    looked = SF.lookup(SF.latest_results(spark, out), spark.createDataFrame([(2,), (9,)], "id bigint"))
+    assert [r["id"] for r in looked.collect()] == [2]
