@@ -8,6 +8,7 @@ rows - the resumable result table of the reference.
 
 from __future__ import annotations
 
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
@@ -29,6 +30,9 @@ GBT_ITER = 20
 # --- end fixed values ------------------------------------------------------------------
 
 
+SCHEMA = "params_key string, fold int, acc double, f1_macro double"
+
+
 def grid(spec: dict) -> list[dict]:
     keys = sorted(spec)
     return [dict(zip(keys, vals)) for vals in product(*[spec[k] for k in keys])]
@@ -42,14 +46,28 @@ def with_features(df: DataFrame, vec_col: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
 
 
+def finished_keys(spark, results_path: str | None) -> set[tuple[str, int]]:
+    """(params_key, fold) pairs already in the result table (bounded by the grid size)."""
+    if not results_path:
+        return set()
+    try:
+        rows = spark.read.parquet(results_path).select("params_key", "fold").distinct().collect()
+    except Exception:  # noqa: BLE001 - no result table yet
+        return set()
+    return {(r[0], r[1]) for r in rows}
+
+
 def cross_validate(df: DataFrame, make_estimator, params: list[dict], label: str = "label",
-                   done: set[tuple[str, int]] | None = None, parallelism: int = 4) -> DataFrame:
-    """(params_key, fold, acc, f1_macro) for every (params, fold) not in ``done``.
+                   done: set[tuple[str, int]] | None = None, parallelism: int = 4,
+                   results_path: str | None = None) -> DataFrame:
+    """(params_key, fold, acc, f1_macro) for every (params, fold) not yet finished.
 
     ``df`` needs ``features``, ``label`` and ``fold``. Fits run concurrently as
-    independent Spark jobs.
+    independent Spark jobs. With ``results_path`` every finished combination is
+    appended there at once (S10) and finished ones are skipped on a rerun (V5
+    resume); the whole result table is returned.
     """
-    done = done or set()
+    done = (done or set()) | finished_keys(df.sparkSession, results_path)
     folds = sorted(r[0] for r in df.select("fold").distinct().collect())
     data = df.select("features", F.col(label).cast("double").alias("label"), "fold")
     tasks = [(p, f) for p in params for f in folds if (params_key(p), f) not in done]
@@ -60,12 +78,19 @@ def cross_validate(df: DataFrame, make_estimator, params: list[dict], label: str
         pred = model.transform(data.filter(F.col("fold") == f)).select(
             F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
         m = summary_metrics(pred).first()
-        return params_key(p), f, float(m["acc"] or 0.0), float(m["f1_macro"] or 0.0)
+        row = (params_key(p), f, float(m["acc"] or 0.0), float(m["f1_macro"] or 0.0))
+        if results_path:
+            with write_lock:  # concurrent appends to one directory would collide in the committer
+                spark.createDataFrame([row], SCHEMA).write.mode("append").parquet(results_path)
+        return row
 
+    spark = df.sparkSession
+    write_lock = threading.Lock()
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(run, tasks))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "params_key string, fold int, acc double, f1_macro double")
+    if results_path:
+        return spark.read.parquet(results_path)
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def mlp_factory(n_features: int, n_classes: int, seed: int = 42):

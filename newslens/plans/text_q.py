@@ -206,3 +206,15 @@ FROM documents d LEFT JOIN h USING (doc_id)""")
 def t6_topic_awareness(spark, sf):
     d = TP.by_doc(documents(spark, sf))
     return finish(TP.topic_awareness(d))
+
+
+@query("f15_feature_record")
+def f15_feature_record(spark, sf):
+    """The full DM8 record (maps, topic arrays, sentiment and readability structs), summarised per row."""
+    from newslens.operators.record import feature_record
+
+    r = feature_record(documents(spark, sf))
+    return r.select("doc_id", "total_words", F.size("pos").cast("bigint").alias("n_pos_tags"),
+                    F.size("ner").cast("bigint").alias("n_ner_tags"), F.size("topic_terms").cast("bigint").alias("n_topics"),
+                    F.col("sentiment.label").alias("sentiment_label"),
+                    F.round("topic_awareness", 6).alias("topic_awareness"))

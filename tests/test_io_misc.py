@@ -132,3 +132,25 @@ def test_remaining_cover_and_body_rules():
     assert X.article_body(conf, rule("EL CONFIDENCIAL")) == "\nA\nB"
     assert X.article_body("<p>A</p>", rule("EL CONFIDENCIAL")) == "N/A"
     assert X.article_body("<div class='ue-c-article__body' data-section='other'><p>A</p></div>", rule("EL MUNDO")) == "N/A"
+
+
+def test_feature_record_shape(spark):
+    from newslens.operators.record import feature_record
+    d = spark.createDataFrame([(1, "Madrid es bueno. Gato gato perro."), (2, "")], "doc_id bigint, text string")
+    r = {x["doc_id"]: x for x in feature_record(d).collect()}
+    assert r[1]["total_words"] == 8 and r[1]["pos"]["PUNCT"]["count"] == 2
+    assert r[1]["ner"]["LOC"]["count"] == 1 and r[1]["topic_terms"][0]["term"] == "gato"
+    assert len(r[1]["topics"]) == 5 and r[1]["sentiment"]["label"] == "5"
+    assert r[2]["pos"] == {} and r[2]["topic_awareness"] == 0.0 and r[2]["readability"]["fernandez_huerta"] == 0.0
+
+
+def test_cross_validate_resume(spark):
+    from newslens.operators import models as MD
+    rows = [(i, [float(i % 2), float(i % 3)], i % 2, i % 3) for i in range(30)]
+    df = MD.with_features(spark.createDataFrame(rows, "id int, v array<double>, label int, fold int"), "v")
+    path = scratch_path(spark, "cv-results")
+    g = [{"stepSize": 0.1, "maxDepth": 2}]
+    first = MD.cross_validate(df, MD.gbt_factory(2), g, results_path=path)
+    assert first.count() == 3
+    again = MD.cross_validate(df, MD.gbt_factory(2), g + [{"stepSize": 0.2, "maxDepth": 2}], results_path=path)
+    assert again.count() == 6  # only the new parameter set was fitted
