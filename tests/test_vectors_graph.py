@@ -104,3 +104,4 @@ def test_edge_weight_guards(spark):
     same_day = spark.createDataFrame([(1, ["a"], 3), (2, ["a"], 3)], "id bigint, entities array<string>, day int")
     f2 = G.edge_features(pairs.filter("j != 3"), same_day)
     assert G.weighted_edges(f2).count() == 0  # zero date range -> no edge
+    assert G.edge_guard_counts(f2).first()["undefined_weight"] == 2
