@@ -84,3 +84,18 @@ def test_pending_grid_and_best(spark):
     assert p == {("a", 2), ("b", 0), ("b", 1), ("b", 2)}
     res = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.1)], "params_key string, f1_macro double")
     assert tuple(V.best_params(res).first()) == ("a", 0.5)
+
+
+def test_hash_rank_exact_under_skew(spark):
+    import hashlib
+    rows = [(i, 0 if i % 10 else 1) for i in range(3000)]  # class 0 holds 90% of the rows
+    d = spark.createDataFrame(rows, "doc_id bigint, label int").repartition(5)
+    got = {r["doc_id"]: r["hrank"] for r in hash_rank(d, "doc_id", ["label"], 42).collect()}
+    want = {}
+    for lab in (0, 1):
+        ids = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, l in rows if l == lab)
+        want.update({i: r for r, (_, i) in enumerate(ids)})
+    assert got == want
+    glob = {r["doc_id"]: r["hrank"] for r in hash_rank(d, "doc_id", [], 42).collect()}
+    order = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, _ in rows)
+    assert glob == {i: r for r, (_, i) in enumerate(order)}
