@@ -24,12 +24,19 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (and drop -0.0) so both engines print the same value."""
+def round6(c):
+    """floor(x * 1e6 + 0.5) / 1e6: plain IEEE double arithmetic, so Spark and DuckDB give the same
+    result for the same input (their ROUND functions disagree on exact decimal halves)."""
+    x = c.cast("double")
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.floor(x * 1e6 + 0.5) / 1e6 + F.lit(0.0))
+
+
+def finish(df: DataFrame) -> DataFrame:
+    """Round every floating column to 6 places (and drop -0.0) so both engines print the same value."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            cols.append(round6(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -69,4 +76,4 @@ def sql_div(a: str, b: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(round(({x})::DOUBLE, 6) + 0.0)"
+    return f"(CASE WHEN isnan(({x})::DOUBLE) THEN ({x})::DOUBLE ELSE floor(({x})::DOUBLE * 1e6 + 0.5) / 1e6 + 0.0 END)"

@@ -8,7 +8,7 @@ from newslens.functions import text as T
 from newslens.functions.lexicons import POS_LOOKUP
 from newslens.operators import textstats as S
 from newslens.operators import topics as TP
-from newslens.plans.registry import (ALPHA, WORD, finish, query, r6, sql_div, sql_lemmas,
+from newslens.plans.registry import (ALPHA, WORD, finish, query, r6, round6, sql_div, sql_lemmas,
                                      sql_sentences, sql_str, sql_tokens, stop_list)
 from newslens.sources.tables import documents
 
@@ -217,4 +217,4 @@ def f15_feature_record(spark, sf):
     return r.select("doc_id", "total_words", F.size("pos").cast("bigint").alias("n_pos_tags"),
                     F.size("ner").cast("bigint").alias("n_ner_tags"), F.size("topic_terms").cast("bigint").alias("n_topics"),
                     F.col("sentiment.label").alias("sentiment_label"),
-                    F.round("topic_awareness", 6).alias("topic_awareness"))
+                    round6(F.col("topic_awareness")).alias("topic_awareness"))
