@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.session import ensure_checkpoint_dir
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, *cols: str | Column) -> DataFrame:
     """The named columns of one given table; other columns, whatever their names, never enter a plan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 

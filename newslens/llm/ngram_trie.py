@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from newslens.llm.bytewords import hash_words, mix
 from newslens.llm.common import byte_chunks, most_frequent, stage
+from newslens.operators.common import maybe_broadcast
 
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
@@ -443,6 +444,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, less those whose class holds a smaller id. Rows that share an id stay or go
+    together; rows equal in id and text are reduced to one."""
+    classes = jaccard_classes(docs, id_col, text_col)
+    classes = stage(classes.select(F.col(id_col).alias("id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("first")), "heads")
+    by_id = classes.groupBy("id").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    gone = by_id.where(~F.col("first")).select(F.col("id").alias("_gone"))
+    kept = docs.join(maybe_broadcast(gone, BROADCAST_ROWS), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return kept if by_id.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
+
+
 def _first_long(digest_col: str):
     """The first 8 bytes of a digest as a long, as the packed entries name it."""
     words = [F.conv(F.hex(F.substring(digest_col, at, 4)), 16, 10).cast("bigint") for at in (1, 5)]

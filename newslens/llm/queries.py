@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newslens.llm import bpe_replay, ngram_trie, token_counts
+from newslens.llm import (
+    bpe_replay,
+    decontaminate,
+    html_text,
+    maxent_lm,
+    merkle,
+    ngram_trie,
+    quality_cnn,
+    sharding,
+    token_counts,
+    url_cascade,
+)
 from newslens.llm.common import read
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -27,14 +39,114 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
 
 
+def quality_network(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality_cnn.Network:
+    """The classifier, fitted to labelled rows of docs outside the held-out third."""
+    labels = read(spark, sf_dir, "labels", F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    return quality_cnn.train(*quality_cnn.labelled_sample(texts, labels.where(~_held_out("id", 3, 1))))
+
+
+def _held_out(id_col: str, modulus: int, remainder: int):
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus)) == remainder
+
+
+@query
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every whole text."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = quality_cnn.score(docs.withColumnRenamed("doc_id", "id"), quality_network(spark, sf_dir, docs))
+    return found.select(F.col("id").alias("doc_id"), _held_out("id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every whole text and of its edited text, with their likeness."""
+    return merkle.fingerprints(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _fingerprint_sql(text: str) -> str:
+    leaves = f"list_transform(string_split({text}, chr(10)), lambda p: sha256(p))"
+    sections = (f"list_transform(range(1, len({leaves}) + 1, {merkle.SECTION}), "
+                f"lambda i: sha256(array_to_string(({leaves})[i:i + {merkle.SECTION - 1}], '')))")
+    pieces = f"list_transform(regexp_extract_all({text}, '[^\n]{{1,{merkle.PIECE}}}'), lambda p: left(md5(p), 8))"
+    return (f"sha256(array_to_string({sections}, '')) || ':' || array_to_string(list_transform({sections}, lambda s: left(s, 16)), '.')"
+            f" || ':' || array_to_string({pieces}, '.')")
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    x, y = (f"list_distinct(string_split(string_split({c}, ':')[3], '.'))" for c in (a, b))
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+
+
+ORACLES["op4_merkle"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS following FROM t),
+e AS (SELECT *, left(text, (length(text) - length(text) // 2)::BIGINT) || left(following, (length(text) // 2)::BIGINT) AS edited FROM n),
+f AS (SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_fingerprint_sql("text")} AS fingerprint,
+      {_fingerprint_sql("edited")} AS edited_fingerprint, {_fingerprint_sql("following")} AS next_fingerprint FROM e)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       {_likeness_sql("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness_sql("fingerprint", "next_fingerprint")} AS near_next
+FROM f"""
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the allow and block rules on the URL of every page."""
+    return url_cascade.judge(read(spark, sf_dir, "pages", "page_id", "url"), url_cascade.rules_table(spark, URL_RULES))
+
+
+ORACLES["op5_url_cascade"] = f"""
+WITH rules(rhost, rpath, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+p AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+f AS (SELECT page_id, rhost || rpath AS rule, verdict,
+      row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS rn
+      FROM u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, '{url_cascade.DEFAULT}') AS verdict
+FROM u LEFT JOIN f ON u.page_id = f.page_id AND f.rn = 1"""
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, verbatim or with other numbers, names and units."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 @query
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by a 5-word-shingle Jaccard similarity of 0.75 or more."""
     return ngram_trie.jaccard_classes(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 16 shards of near equal bytes."""
+    return sharding.shard_by_bytes(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to, as digests."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return bpe_replay.digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+
+
+@query
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text under the maximum-entropy model and its unigram base."""
+    return maxent_lm.held_out_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
