@@ -2,13 +2,16 @@
 
 A text's set holds its distinct 5-word shingles (words: see bytewords), as 64-bit hashes; a shorter text has its whole
 word sequence as one. Texts with equal sets are one vertex, named by a 128-bit digest, so copies cost nothing beyond the
-first pass. Sets are kept in one global order: shingles counted as frequent last, the others by hash. A pair with Jaccard
-similarity t or more shares a shingle among the first n - ceil(t n) + 1 of each set, and its sizes differ by t at most.
-
-1. ``shingle_sets``: size and digest of every text, and the shingles that many texts share (counted over all texts).
-2. Prefixes: every distinct set gives its prefix shingles. They are dealt by shingle; sets in a shingle's list, sorted by
-   size, are chained while neighbours' sizes are within t. That keeps together every pair that can be linked. A task chains
-   its own lists before it sends them, and sends two entries for each shingle and size class, however many sets it has.
+first pass. Sets are kept in one global order, rare shingles first. A pair with Jaccard similarity t or more shares a
+shingle among the first n - ceil(t n) + 1 of each set, and its sizes differ by t at most.
+
+1. ``shingle_sets``: size and digest of every text. Each task counts the shingles of its own texts, deals the counts out by
+   shingle and gets the counts over all texts back. A set that has less than ceil(t n) shingles in common with all others
+   together can have no link: most texts are settled here, also those that share only a passage.
+2. The others' shingles are counted once more, among them alone, and give the global order. Each set sends its prefix,
+   dealt by shingle; sets in a shingle's list, sorted by size, are chained while neighbours' sizes are within t. That keeps
+   together every pair that can be linked. A task chains its own lists before it sends them, and sends two entries for each
+   shingle and size class, however many sets it has.
 3. Connected components of the chains (large-star / small-star) give groups of candidates. The sets of a group meet in one
    unit; a group of more than ``unit_shingles`` is cut into blocks and every pair of blocks is a unit, so none is unbounded.
 4. In a unit the sets go into a prefix tree, frequent shingles first. A traversal for each set shares the overlap along
@@ -29,22 +32,20 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.llm.bytewords import hash_words, mix
-from newslens.llm.common import byte_chunks, most_frequent, stage
+from newslens.llm.common import byte_chunks, stage
 from newslens.operators.common import maybe_broadcast
 
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
 THRESHOLD = 75
 CHUNK_BYTES = 2 << 20
-#: A shingle is frequent if that many of about FLUSH shingles in a row (some thousand texts) have it ...
-LOCAL_COUNT = 4
-FLUSH = 4_000_000
-#: ... and this many are put last at most: those with the highest counts. Any choice gives the same links.
-FREQUENT = 1 << 18
+#: Shingles of the distinct sets that are counted in one chunk, before counts are dealt out.
+FLUSH = 1_500_000
 PREFIX_FLUSH = 1_000_000
 UNIT_SHINGLES = 500_000
 
@@ -81,96 +82,197 @@ def need(n: int, threshold: int) -> int:
     return -(-threshold * n // 100)
 
 
-# ---------------------------------------------------------------- passes over the texts
+# ---------------------------------------------------------------- how many texts have a shingle
+
+class Chunk:
+    """Distinct sets of some thousand texts, and their distinct shingles in the order in which they are dealt: by bucket,
+    then by the first set that has them."""
+
+    def __init__(self, sets: list[np.ndarray], buckets: int):
+        self.sets = sets
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
+        found, first, inverse, counts = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+        bucket = ((found >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((first, bucket))
+        self.shingle, self.count, self.bucket = found[order], counts[order], bucket[order]
+        self.owner = of[first[order]]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.place, self.of = place[inverse], of  # for each element of the sets: its shingle's place, its set
+
+    def messages(self, chunk: int):
+        """(bucket, chunk, shingles cut to 32 bits, counts cut to 255) for each bucket."""
+        for k, rows in _runs(self.bucket):
+            yield k, chunk, self.shingle[rows].astype(np.uint32).tobytes(), np.minimum(self.count[rows], 255).astype(np.uint8).tobytes()
+
+
+def _runs(values: np.ndarray):
+    """(value, slice) of each run of equal values."""
+    if len(values):
+        cuts = np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield int(values[a]), slice(a, b)
+
+
+_MESSAGE = "bucket bigint, chunk bigint, a binary, b binary"
+
+
+def _message_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
+        ["bucket", "chunk", "a", "b"])
+
+
+def _answered(messages: DataFrame) -> DataFrame:
+    """For every chunk and bucket, how many sets have each shingle, over all chunks, as b, cut to 255. A shingle is known by
+    its bucket and 32 bits here; should two meet, their counts add up, which costs pruning and no link. Rows with a bucket
+    below 0 go through."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return table
+        a, b = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("a", np.uint32), ("b", np.uint8)))
+        found, inverse = np.unique(np.concatenate(a), return_inverse=True)
+        total = np.minimum(np.bincount(inverse, np.concatenate(b), len(found)), 255).astype(np.uint8)[inverse]
+        parts = np.split(total, np.cumsum([len(x) for x in a])[:-1])
+        none = pa.array([b""] * len(a), pa.binary())
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "a": none, "b": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    return messages.groupBy("bucket").applyInArrow(run, _MESSAGE)
+
+
+def _counts_of(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Of a chunk's rows: what its negative bucket held, and the counts in the order of the deal."""
+    rows = sorted(zip(table.column("bucket").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist()))
+    with pa.ipc.open_stream(rows[0][1]) as reader:
+        held = reader.read_all()
+    return held, np.frombuffer(b"".join(r[2] for r in rows[1:]), np.uint8)
 
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per text: id, n, digest (null: empty set). Besides, rows with shingle and df: shingles that LOCAL_COUNT or
-    more distinct sets among some thousand texts share, with that count."""
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _buckets(df: DataFrame) -> int:
+    return 8 * df.rdd.getNumPartitions()
+
+
+def shingle_sets(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """docs (id, text) -> (id, n, digest, open): the size and digest (null: empty) of every text's set, and whether so many of
+    its shingles stand in another set, too, that it could be linked. Equal sets of one chunk count as one."""
+    kind = docs.schema["id"].dataType.simpleString()
+    buckets = _buckets(docs)
 
     def run(batches):
-        seen: set[bytes] = set()
-        held, size = [], 0
-
-        def frequent():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= LOCAL_COUNT
-            k = int(keep.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
-                 pa.array(found[keep].view(np.int64)), pa.array(n[keep], pa.int64())], ["id", "n", "digest", "shingle", "df"])
-
-        id_type = None
+        chunk = TaskContext.get().partitionId() << 32
+        info, sets, place, size = [], [], {}, 0
+
+        def flush():
+            dealt = Chunk(sets, buckets)
+            alone = dealt.count == 1
+            inside = np.bincount(dealt.of[dealt.count[dealt.place] > 1], minlength=len(sets))
+            # whose each shingle is, as runs; those with several owners are settled here
+            owner = np.where(alone, dealt.owner, len(sets))
+            cut = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+            length = np.diff(np.append(cut, len(owner)))
+            ids = pa.concat_arrays([x[0] for x in info])
+            n = pa.array([k for x in info for k in x[1]], pa.int64())
+            digests = pa.array([d for x in info for d in x[2]], pa.binary())
+            which = pa.array([place.get(d, -1) for x in info for d in x[2]], pa.int64())
+            k = len(ids)
+            pad = lambda v: pa.array([v] + [None] * (k - 1), pa.binary())
+            held = pa.RecordBatch.from_arrays(
+                [ids, n, digests, which, pad(inside.tobytes()), pad(owner[cut].astype(np.uint32).tobytes()), pad(length.astype(np.uint32).tobytes())],
+                ["id", "n", "digest", "which", "inside", "owner", "length"])
+            return _message_batch([(-1 - chunk, chunk, _packed(held), b""), *dealt.messages(chunk)])
+
         for part in byte_chunks(batches, "text", CHUNK_BYTES):
-            id_type = part.column("id").type
-            sets = shingles(part.column("text"), words)
-            names = [digest(s) if len(s) else None for s in sets]
-            for name, s in zip(names, sets):
-                if name is not None and name not in seen:
-                    seen.add(name)
-                    held.append(s)
-                    size += len(s)
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.binary()), none, none],
-                ["id", "n", "digest", "shingle", "df"])
+            found = shingles(part.column("text"), words)
+            names = [digest(x) if len(x) else None for x in found]
+            for name, x in zip(names, found):
+                if name is not None and name not in place:
+                    place[name] = len(sets)
+                    sets.append(x)
+                    size += len(x)
+            info.append((part.column("id"), [len(x) for x in found], names))
             if size >= FLUSH:
-                yield frequent()
-                held, size = [], 0
-        if held:
-            yield frequent()
+                yield flush()
+                chunk += 1
+                info, sets, place, size = [], [], {}, 0
+        if info:
+            yield flush()
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n bigint, digest binary, shingle bigint, df bigint")
+    def settle(table: pa.Table) -> pa.Table:
+        held, counts = _counts_of(table)
+        inside, owner, length = (np.frombuffer(held.column(c)[0].as_py(), t) for c, t in (("inside", np.int64), ("owner", np.uint32), ("length", np.uint32)))
+        of = np.repeat(owner, length)
+        shared = inside + np.bincount(of[counts > 1], minlength=len(inside) + 1)[: len(inside)]
+        which, n = held.column("which").to_numpy(), held.column("n").to_numpy()
+        opened = (which >= 0) & (shared[which] * 100 >= n * threshold) if len(shared) else np.zeros(len(n), bool)
+        return pa.table({"id": held.column("id"), "n": held.column("n"), "digest": held.column("digest"), "open": pa.array(opened)})
+
+    dealt = docs.select("id", "text").mapInArrow(run, _MESSAGE)
+    return _answered(dealt).groupBy("chunk").applyInArrow(settle, f"id {kind}, n bigint, digest binary, open boolean")
 
 
-def _prefix_lists(docs: DataFrame, words: int, threshold: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Packed prefix entries (bucket, shingles, names, sizes) and, with a null bucket, chains (names, others)."""
-    last = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+def _prefix_lists(wanted: DataFrame, words: int, threshold: int, buckets: int) -> DataFrame:
+    """wanted (text, name) -> packed prefix entries (bucket, shingles, names, sizes) and, with a null bucket, chains (names,
+    others). The order of shingles: rare ones among the wanted sets first, then by hash."""
+    dealt_to = max(1, _buckets(wanted) // 4)
 
     def run(batches):
-        order_last = last.value
-        seen: set[bytes] = set()
-        toks, sizes, names, held = [], [], [], 0
+        chunk = TaskContext.get().partitionId() << 32
+        names, sets, size = [], [], 0
 
         def flush():
-            tok = np.concatenate(toks)
-            n = np.repeat(np.array(sizes, np.uint32), [len(t) for t in toks])
-            name = np.repeat(np.array(names, np.int64), [len(t) for t in toks])
-            tok, name, n, a, b = _chain(tok, name, n, threshold)
-            rows = [(None, b"", a.tobytes(), b.tobytes())] if len(a) else []
-            bucket = (mix(tok ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            found, cuts = np.unique(bucket[order], return_index=True)
-            for k, rows_of in zip(found.tolist(), np.split(order, cuts[1:])):
-                rows.append((k, tok[rows_of].tobytes(), name[rows_of].tobytes(), n[rows_of].tobytes()))
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "shingles", "names", "sizes"])
+            held = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["name", "members"])
+            return _message_batch([(-1 - chunk, chunk, _packed(held), b""), *Chunk(sets, dealt_to).messages(chunk)])
 
         for part in byte_chunks(batches, "text", CHUNK_BYTES):
-            for s in shingles(part.column("text"), words):
-                if not len(s):
-                    continue
-                whole = digest(s)
-                if whole in seen:
-                    continue
-                seen.add(whole)
-                if len(order_last):
-                    at = np.minimum(np.searchsorted(order_last, s), len(order_last) - 1)
-                    late = order_last[at] == s
-                    s = np.concatenate((s[~late], s[late]))
-                prefix = s[: len(s) - need(len(s), threshold) + 1]
-                toks.append(prefix)
-                sizes.append(len(s))
-                names.append(int.from_bytes(whole[:8], "big", signed=True))
-                held += len(prefix)
-            if held >= PREFIX_FLUSH:
+            for name, x in zip(part.column("name").to_pylist(), shingles(part.column("text"), words)):
+                if len(x) and digest(x) == name:
+                    names.append(name)
+                    sets.append(x)
+                    size += len(x)
+            if size >= PREFIX_FLUSH:
                 yield flush()
-                toks, sizes, names, held = [], [], [], 0
-        if held:
+                chunk += 1
+                names, sets, size = [], [], 0
+        if sets:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, shingles binary, names binary, sizes binary")
+    def lists(table: pa.Table) -> pa.Table:
+        held, counts = _counts_of(table)
+        sets = [np.frombuffer(x, np.uint64) for x in held.column("members").to_pylist()]
+        own = Chunk(sets, dealt_to)
+        count = counts[own.place]
+        toks, sizes, names = [np.zeros(0, np.uint64)], [], []
+        ends = np.cumsum([len(x) for x in sets])
+        for name, x, end in zip(held.column("name").to_pylist(), sets, ends.tolist()):
+            c = count[end - len(x) : end]
+            if (c > 1).sum() >= need(len(x), threshold):
+                prefix = x[np.lexsort((x, c))][: len(x) - need(len(x), threshold) + 1]
+                toks.append(prefix)
+                sizes.append(len(x))
+                names.append(int.from_bytes(name[:8], "big", signed=True))
+        lengths = [len(t) for t in toks[1:]]
+        tok, name, n, a, b = _chain(np.concatenate(toks), np.repeat(np.array(names, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths), threshold)
+        rows = [(None, b"", a.tobytes(), b.tobytes())] if len(a) else []
+        bucket = (mix(tok ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for k, some in _runs(bucket[order]):
+            at = order[some]
+            rows.append((k, tok[at].tobytes(), name[at].tobytes(), n[at].tobytes()))
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.table({"bucket": pa.array(cols[0], pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in zip(("shingles", "names", "sizes"), cols[1:])}})
+
+    dealt = wanted.select("text", "name").mapInArrow(run, _MESSAGE)
+    return _answered(dealt).groupBy("chunk").applyInArrow(lists, "bucket bigint, shingles binary, names binary, sizes binary")
 
 
 def _chain(tok, name, n, threshold: int):
@@ -401,26 +503,20 @@ BROADCAST_ROWS = 250_000
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """(id_col, n_shingles bigint, component_id): every row of ``docs`` with its set's size and the smallest id reachable
     by links. See the module's head for the method and the cases."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = stage(shingle_sets(texts, words), "sets")
-    rows = first.where("shingle is null").select("id", "n", "digest")
-    counted = first.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
-    frequent = most_frequent(counted, "shingle", "df", FREQUENT)[0].view(np.uint64)
-    total = rows.agg(F.sum("n")).first()[0] or 0
-
-    buckets = 1 + total * (100 - threshold) // 100 // 500_000
-    lists = stage(_prefix_lists(texts, words, threshold, frequent, buckets), "prefixes")
+    rows = stage(shingle_sets(texts, words, threshold), "sets")
+    vertices = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max("open").alias("open"))
+    opened = stage(vertices.where("open and id is not null").select("id", F.col("digest").alias("name"), "n"), "open")
+    buckets = 1 + (opened.agg(F.sum("n")).first()[0] or 0) * (100 - threshold) // 100 // 500_000
+    asked = texts.join(maybe_broadcast(opened.select("id", "name"), BROADCAST_ROWS), "id").select("text", "name")
+    lists = stage(_prefix_lists(asked, words, threshold, buckets), "prefixes")
     groups = components(_candidate_links(lists, threshold))
 
-    vertices = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    vertices = vertices.withColumn("node", _first_long("digest"))
+    vertices = opened.withColumn("node", _first_long("name"))
     grouped = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    wanted = stage(vertices.where("id is not null").join(grouped, "node").select("id", F.col("root").alias("group"), F.col("digest").alias("name"), "n"), "wanted")
+    wanted = stage(vertices.join(grouped, "node").select("id", F.col("root").alias("group"), "name", "n"), "wanted")
     sized = wanted.groupBy("group").agg(F.sum("n").alias("size")).withColumn("blocks", F.ceil(F.col("size") / unit_shingles))
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    listed = wanted.select("id", "group", "name")
-    sets = _packed_sets(texts, F.broadcast(listed) if small else listed, words)
+    sets = _packed_sets(texts, maybe_broadcast(wanted.select("id", "group", "name"), BROADCAST_ROWS), words)
     large = stage(sized.where("blocks > 1").select("group", "blocks"), "large")
     units = 1 + (sized.agg(F.sum("size")).first()[0] or 0) // unit_shingles
     spread = F.pmod(F.xxhash64("group"), F.lit(units))
@@ -437,6 +533,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the class of each vertex that has links, then the smallest id of each class; staged, so that the last join is one of
     # two plain shuffles, whose large partitions (a digest with many copies) Spark splits
+    vertices = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"))
     named = vertices.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_digest = stage(named.select("digest", "root").join(lowest, "root").select("digest", "component_id"), "classes")
