@@ -34,6 +34,8 @@ HALF = CHUNK // 2
 SAMPLE_ROWS = 3000
 SAMPLE_TEXT_BYTES = 64_000
 EPOCHS = 6
+#: A small sample is gone through more often, for this many steps at least.
+LEAST_STEPS = 800
 BATCH = 16
 CHUNK_BYTES = 256 << 10
 _PAD = 256  # the byte value beyond the end of a text
@@ -128,13 +130,14 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     weight = np.where(labels > 0, 0.5 / good, 0.5 / (1 - good)).astype(np.float32)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             grad = _gradient(p, [texts[i] for i in rows], labels[rows], weight[rows])
             step += 1
-            rate = 0.02 * (1 - epoch / EPOCHS)
+            rate = 0.02 * (1 - epoch / epochs)
             for k, g in grad.items():
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
