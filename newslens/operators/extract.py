@@ -168,20 +168,25 @@ class _Node:
         return (self.attrs.get("class") or "").split()
 
     def text(self, strip: bool) -> str:
-        parts = []
-        for c in self.children:
-            parts.append(c.text(strip) if isinstance(c, _Node) else (c.strip() if strip else c))
+        parts, todo = [], list(reversed(self.children))
+        while todo:  # pages may nest deeper than Python recurses
+            c = todo.pop()
+            if isinstance(c, _Node):
+                todo.extend(reversed(c.children))
+            else:
+                parts.append(c.strip() if strip else c)
         return "".join(parts)
 
     def find_all(self, tag, cls=None, attrs=None, href=False):
-        out = []
-        for c in self.children:
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            c = todo.pop()
             if isinstance(c, _Node):
                 if (c.tag == tag and (cls is None or cls in c.classes())
                         and all(c.attrs.get(k) == v for k, v in (attrs or {}).items())
                         and (not href or c.attrs.get("href") is not None)):
                     out.append(c)
-                out.extend(c.find_all(tag, cls, attrs, href))
+                todo.extend(reversed(c.children))
         return out
 
     def find(self, tag, cls=None, attrs=None, href=False):

@@ -40,7 +40,7 @@ from newslens.operators.common import hash_key
 from newslens.session import ensure_checkpoint_dir
 
 ROUND_MARGIN = 1e-6
-LB_SLACK = 1e-6
+LB_SLACK = 2e-6  # covers the rounding of distances to 6 places, and float error
 MAX_STATS_ROWS = 2_000_000
 
 
@@ -178,10 +178,15 @@ def knn(queries: DataFrame, refs: DataFrame | None = None, k: int = 30, id_col:
         if drop_self:
             S[qid[:, None] == rid[None, :]] = np.inf
         kk = min(k, S.shape[1])
+        norms = 1.0 + Q.shape[1] * ((Q * Q).sum(1) + (R * R).sum(1).max())
         part = np.partition(S, kk - 1, axis=1)[:, kk - 1]
         out_q, out_r, out_d = [], [], []
         for i in range(S.shape[0]):
-            lim = part[i] + 1e-9 if np.isfinite(part[i]) else np.inf
+            # all that may round to the k-th distance, allowing for the error of the expanded squares
+            lim = np.inf
+            if np.isfinite(part[i]):
+                near = max(part[i], 0.0)
+                lim = (near + 2e-6 if metric == "cosine" else (np.sqrt(near) + 1e-6) ** 2) + 1e-12 * norms[i]
             cand = np.nonzero(np.isfinite(S[i]) & (S[i] <= lim))[0]
             if len(cand) == 0:
                 continue

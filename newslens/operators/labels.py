@@ -49,16 +49,14 @@ def feature_columns(df: DataFrame, exclude=("label", "text")) -> list[str]:
 def standardise(df: DataFrame, cols: list[str], prefix: str = "z_", fit: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population sigma; sigma 0 -> 0.
 
-    The statistics are one aggregate over ``fit`` (default ``df``; pass the
-    training fold to avoid leakage, Q16), read back as scalar subqueries.
+    The statistics of all columns are one aggregate over ``fit`` (default ``df``;
+    pass the training fold to avoid leakage, Q16), joined back as a single row.
     """
     src = fit if fit is not None else df
-    out = df
-    for c in cols:
-        mu = src.select(F.avg(F.col(c).cast("double"))).scalar()
-        sd = src.select(F.stddev_pop(F.col(c).cast("double"))).scalar()
-        out = out.withColumn(prefix + c, F.when(sd == 0, F.lit(0.0)).otherwise((F.col(c) - mu) / sd))
-    return out
+    of = [(c, F.col(c).cast("double")) for c in cols]
+    stats = src.agg(*[F.avg(x).alias(f"_mu_{c}") for c, x in of], *[F.stddev_pop(x).alias(f"_sd_{c}") for c, x in of])
+    scaled = {prefix + c: F.when(F.col(f"_sd_{c}") == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}")) for c in cols}
+    return df.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*stats.columns) if cols else df
 
 
 def dummy_feature(df: DataFrame, name: str = "dummy") -> DataFrame:

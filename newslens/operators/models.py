@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newslens.sources.io import read_if_there
 from newslens.operators.validate import summary_metrics
 
 # --- fixed values: grids ---------------------------------------------------------------
@@ -50,11 +51,8 @@ def finished_keys(spark, results_path: str | None) -> set[tuple[str, int]]:
     """(params_key, fold) pairs already in the result table (bounded by the grid size)."""
     if not results_path:
         return set()
-    try:
-        rows = spark.read.parquet(results_path).select("params_key", "fold").distinct().collect()
-    except Exception:  # noqa: BLE001 - no result table yet
-        return set()
-    return {(r[0], r[1]) for r in rows}
+    done = read_if_there(spark, results_path)
+    return set() if done is None else {(r[0], r[1]) for r in done.select("params_key", "fold").distinct().collect()}
 
 
 def cross_validate(df: DataFrame, make_estimator, params: list[dict], label: str = "label",

@@ -34,7 +34,7 @@ m AS (SELECT m0.*, lower(trim(mention, {PUNCT})) AS norm, coalesce(g.etype, 'MIS
 
 ENTS_CTE = f"""
 {GZ},
-e0 AS (SELECT doc_id, lower(trim(unnest(regexp_extract_all(substring(text, 1, 512), {ENT_RE})), {PUNCT})) AS norm
+e0 AS (SELECT doc_id, lower(trim(unnest(regexp_extract_all(text, {ENT_RE})), {PUNCT})) AS norm
        FROM documents),
 ents AS (SELECT DISTINCT e0.doc_id, e0.norm AS entity FROM e0 LEFT JOIN g ON e0.norm = g.form
          WHERE coalesce(g.etype, 'MISC') IN ({TYPES}) AND e0.norm <> '')"""

@@ -121,15 +121,14 @@ WITH b AS (
     coalesce(list_sum(list_transform({_READ_WORDS},
         lambda x: greatest(1, len(regexp_extract_all(lower(x), {sql_str(T.VOWEL_GROUP_RE)}))))), 0)::DOUBLE AS syl,
     coalesce(list_sum(list_transform({_READ_WORDS}, lambda x: length(x))), 0)::DOUBLE AS let
-  FROM documents WHERE lang = 'es')
+  FROM documents)
 SELECT doc_id,
   {r6(f"CASE WHEN w > 0 AND s > 0 THEN 206.84 - 60.0 * (syl / w) - 1.02 * (w / s) ELSE 0.0 END")} AS fernandez_huerta,
   {r6(f"CASE WHEN w > 0 AND s > 0 THEN 206.835 - 62.3 * (syl / w) - (w / s) ELSE 0.0 END")} AS szigriszt_pazos,
   {r6(f"CASE WHEN w > 0 AND s > 0 THEN 95.2 - 9.7 * (let / w) - 0.35 * (w / s) ELSE 0.0 END")} AS gutierrez_polini
 FROM b""")
 def f13_readability(spark, sf):
-    d = documents(spark, sf).filter(F.col("lang") == "es")
-    return finish(S.readability(d))
+    return finish(S.readability(documents(spark, sf)))
 
 
 @query("f15_feature_table", f"""

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,12 +81,20 @@ def pending_ids(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key), key, "left_anti")
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is none. Any other failure is raised: taking it for an absent table would
+    compute and append everything once more."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def read_stage_or_compute(spark: SparkSession, path: str, inputs: DataFrame, key: str, compute) -> DataFrame:
     """Compute the stage only for new keys, append, and return the whole stage table."""
-    try:
-        done = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no stage table yet
-        done = None
+    done = read_if_there(spark, path)
     todo = inputs if done is None else pending_ids(inputs, done, key)
     append_stage(compute(todo), path)
     return spark.read.parquet(path)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.operators.textstats import text_stats
@@ -39,9 +39,10 @@ def feature_rows(requests: DataFrame) -> DataFrame:
 def upsert_batch(out_dir: str):
     """foreachBatch sink: append the batch under its id; errors to a side table."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        b.filter(F.col("error").isNull()).write.mode("append").parquet(os.path.join(out_dir, "results"))
-        b.filter(F.col("error").isNotNull()).write.mode("append").parquet(os.path.join(out_dir, "quarantine"))
+        b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn("seq", F.monotonically_increasing_id())
+        # a folder per batch: a batch that is run again replaces its rows
+        b.filter(F.col("error").isNull()).write.mode("overwrite").parquet(os.path.join(out_dir, "results", f"batch={batch_id}"))
+        b.filter(F.col("error").isNotNull()).write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", f"batch={batch_id}"))
     return write
 
 
@@ -65,10 +66,10 @@ def run_feature_stream(spark: SparkSession, source_dir: str, out_dir: str, check
 
 
 def latest_results(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Q-S2 read side: the newest row per id (a window per id, no global order)."""
-    r = spark.read.parquet(os.path.join(out_dir, "results"))
-    w = Window.partitionBy("id").orderBy(F.desc("batch_id"))
-    return r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """Q-S2 read side: the newest row per id, by batch and place in it; an aggregate, so a hot id is combined map-side."""
+    r = spark.read.parquet(os.path.join(out_dir, "results")).drop("batch")
+    newest = r.groupBy("id").agg(F.max_by(F.struct(*r.columns), F.struct("batch_id", "seq")).alias("r"))
+    return newest.select("r.*").drop("seq")
 
 
 def lookup(results: DataFrame, requested: DataFrame, key: str = "id") -> DataFrame:
