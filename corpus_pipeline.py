@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newslens.llm import bpe_replay, decontaminate, ngram_trie, quality_cnn
-from newslens.llm.common import read, stage
+from newslens.llm.common import read, small_batches, stage
 from newslens.llm.queries import BPE_FILE, quality_network
 
 
@@ -23,6 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_trie.one_of_each_class(docs)
 
 
@@ -31,6 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe_replay.digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 

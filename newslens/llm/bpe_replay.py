@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from newslens.llm.common import IntTable, as_text, byte_chunks
 
-CACHE_WORDS = 500_000
-CHUNK_BYTES = 4 << 20
+CACHE_WORDS = 100_000
+CHUNK_BYTES = 2 << 20
 #: Longer words, in bytes, are merged one by one.
 LONG_WORD = 256
 #: Texts below this code point are split by the standard library, with the classes written out.

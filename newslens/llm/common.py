@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,8 +15,20 @@ from pyspark.sql import functions as F
 from newslens.session import ensure_checkpoint_dir
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows are whole texts, so Spark's 10,000 of them in one Arrow batch would fill a worker's memory.
+TEXTS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in small batches, unless it has a setting of its own."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(TEXTS_PER_BATCH))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str | Column) -> DataFrame:
     """The named columns of one given table; other columns, whatever their names, never enter a plan."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
@@ -44,6 +57,16 @@ def byte_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int)
                 begin, held = i, 0
             held += n
         yield batch.slice(begin)
+    release()
+
+
+def release() -> None:
+    """Give back what a worker no longer uses: it is kept for other tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

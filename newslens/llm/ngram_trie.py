@@ -43,10 +43,10 @@ from newslens.operators.common import maybe_broadcast
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
 THRESHOLD = 75
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Shingles of the distinct sets that are counted in one chunk, before counts are dealt out.
-FLUSH = 1_500_000
-PREFIX_FLUSH = 1_000_000
+FLUSH = 600_000
+PREFIX_FLUSH = 500_000
 UNIT_SHINGLES = 500_000
 
 

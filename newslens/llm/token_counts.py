@@ -27,7 +27,7 @@ from newslens.llm.common import as_text, byte_chunks
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 200_000
 CHUNK_BYTES = 4 << 20
 
 
