@@ -167,7 +167,10 @@ def _gradient(p: dict, texts: list[bytes], labels: np.ndarray, weight: np.ndarra
     sizes = np.diff(np.append(first, len(chunks)))
     text = np.repeat(np.arange(len(first)), sizes)
     held = feats[halves > 0]
-    d_chunks = d_feats[text, 0] / sizes[text, None] + d_feats[text, 1] * (chunks == held[text, 1]) + d_feats[text, 2] * (chunks == held[text, 2])
+    d_chunks = d_feats[text, 0] / sizes[text, None]
+    for k in (1, 2) if len(first) else ():  # chunks that tie share what goes to the lowest or highest
+        tied = (chunks == held[text, k]).astype(np.float32)
+        d_chunks += d_feats[text, k] * tied / np.maximum(np.add.reduceat(tied, first, 0), 1)[text]
     begin = (np.cumsum(halves) - halves)[halves > 0]
     half = np.arange(len(chunks)) - first[text] + begin[text]
     other = np.minimum(half + (halves[halves > 0][text] > 1), len(act) - 1)

@@ -128,6 +128,7 @@ def test_network_gradient():
     rng = np.random.default_rng(0)
     p = {"tables": rng.normal(0, 0.3, (quality_cnn.WIDTH, 257, quality_cnn.FILTERS)), "bias": rng.normal(0, 0.3, quality_cnn.FILTERS),
          "weights": rng.normal(0, 0.5, (3, quality_cnn.FILTERS)), "offset": np.array([0.1])}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
     texts, labels, weight = [b"abcabc" * 40, b"", b"xyz" * 70, b"q"], np.array([1.0, 0, 0, 1]), np.ones(4)
 
     def loss(q):
