@@ -89,7 +89,7 @@ def next_rows(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("next_text", F.lead("text").over(order)).where("id is not null").select("id", "text", "next_text")
     first = known.where(F.col("id") == tops[found[-1]]).agg(F.max("text").alias("next_text"))
     lost = docs.where("id is null")
-    return rows if lost.isEmpty() else rows.unionByName(lost.crossJoin(F.broadcast(first)))
+    return rows if lost.isEmpty() else rows.unionByName(lost.withColumn("next_text", first.scalar()))
 
 
 def _above(x: Column, cuts: list[int], first: int) -> Column:
