@@ -50,13 +50,16 @@ def standardise(df: DataFrame, cols: list[str], prefix: str = "z_", fit: DataFra
     """(x - mean) / population sigma; sigma 0 -> 0.
 
     The statistics of all columns are one aggregate over ``fit`` (default ``df``;
-    pass the training fold to avoid leakage, Q16), joined back as a single row.
+    pass the training fold to avoid leakage, Q16), read back as one scalar subquery.
     """
     src = fit if fit is not None else df
     of = [(c, F.col(c).cast("double")) for c in cols]
-    stats = src.agg(*[F.avg(x).alias(f"_mu_{c}") for c, x in of], *[F.stddev_pop(x).alias(f"_sd_{c}") for c, x in of])
-    scaled = {prefix + c: F.when(F.col(f"_sd_{c}") == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}")) for c in cols}
-    return df.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*stats.columns) if cols else df
+    if not cols:
+        return df
+    stats = src.select(F.struct(*[F.struct(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd")).alias(c) for c, x in of])).scalar()
+    of_col = lambda c, k: F.col("_stats")[c][k]
+    scaled = {prefix + c: F.when(of_col(c, "sd") == 0, F.lit(0.0)).otherwise((F.col(c) - of_col(c, "mu")) / of_col(c, "sd")) for c in cols}
+    return df.withColumn("_stats", stats).withColumns(scaled).drop("_stats")
 
 
 def dummy_feature(df: DataFrame, name: str = "dummy") -> DataFrame:
