@@ -41,7 +41,8 @@ UNITS = (
 ENDS = [".", "!", "?", ":", "\n"]
 # --- end fixed values -----------------------------------------------------------------------------------
 
-_TOKEN = r"\d+(?:[.,:/]\d+)*|\p{L}+(?:['’-]\p{L}+)*|[%$€£¥°]|[.!?:\n]"
+# Possessive, and the commonest letters listed before the class of all: the same matches without trying again.
+_TOKEN = r"[a-zA-Z\p{L}]++(?:['’-]\p{L}++)*+|\d++(?:[.,:/]\d++)*+|[%$€£¥°]|[.!?:\n]"
 
 
 def tokens(text: Column) -> Column:
@@ -55,10 +56,12 @@ def _kinds(toks: str) -> Column:
     def canonical(t, i):
         before = F.when(i > 0, F.get(F.col(toks), i - 1))
         first, rest = F.substring(t, 1, 1), F.substring(t, 2, 1 << 30)
-        number = first.between("0", "9")
         after_number = F.substring(before, 1, 1).between("0", "9")
+        unit = F.lower(t).isin(UNITS) & after_number
         name = (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest)) & before.isNotNull() & ~before.isin(ENDS)
-        return (F.when(number, "<num>").when(t.isin(SIGNS) | (after_number & F.lower(t).isin(UNITS)), "<unit>")
+        # most tokens begin with a small letter: neither number, sign nor name
+        return (F.when(first.between("a", "z"), F.when(unit, "<unit>").otherwise(F.lower(t)))
+                .when(first.between("0", "9"), "<num>").when(t.isin(SIGNS) | unit, "<unit>")
                 .when(name, "<name>").otherwise(F.lower(t)))
 
     return F.transform(toks, canonical)
@@ -74,16 +77,26 @@ def _templates(rows: DataFrame) -> DataFrame:
 def _windows(templates: DataFrame, lengths: list[int]) -> DataFrame:
     """(id, at, size, h): the hash of every window of each length."""
 
-    def of_length(n: int) -> Column:
+    def hashes(n: int) -> Column:
         starts = F.when(F.size("canon") >= n, F.sequence(F.lit(1), F.size("canon") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.xxhash64(F.slice("canon", i, n)).alias("h")))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice("canon", i, n)))
 
-    found = [of_length(n) for n in lengths]
-    hashed = templates.select("id", (found[0] if len(found) == 1 else F.concat(*found)).alias("w"))
+    found = [hashes(n) for n in lengths]
+    one_array = templates.select("id", F.size("canon").alias("m"), (found[0] if len(found) == 1 else F.concat(*found)).alias("hashes"))
     # outer: for a plain explode Spark infers a filter on the array and evaluates the whole expression a second time, per
     # element, below the projections that hold its parts
-    exploded = hashed.select("id", F.explode_outer("w").alias("w")).where(F.col("w").isNotNull())
-    return exploded.select("id", "w.at", "w.size", "w.h")
+    exploded = one_array.select("id", "m", F.posexplode_outer("hashes").alias("place", "h")).where(F.col("h").isNotNull())
+    # the windows of each length follow those of the length before
+    ends, total = [], F.lit(0)
+    for n in lengths:
+        total = total + F.greatest(F.col("m") - n + 1, F.lit(0))
+        ends.append(total)
+    size, at = F.lit(lengths[-1]), F.col("place") - (ends[-2] if len(ends) > 1 else F.lit(0)) + 1
+    for k in range(len(lengths) - 2, -1, -1):
+        inside = F.col("place") < ends[k]
+        size = F.when(inside, lengths[k]).otherwise(size)
+        at = F.when(inside, F.col("place") - (ends[k - 1] if k else F.lit(0)) + 1).otherwise(at)
+    return exploded.select("id", at.alias("at"), size.alias("size"), "h")
 
 
 def _slots(rows: DataFrame) -> DataFrame:
