@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: accepted date layouts, tried in order (day first) -----------------------
-DATE_FORMATS = ("dd/MM/yy", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd")
+DATE_FORMATS = (
+    "dd/MM/yy", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "yyyy/MM/dd",
+    "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yy HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm[:ss][.SSS][XXX]", "d MMM yyyy", "d MMMM yyyy",
+)
 # --- end fixed values ----------------------------------------------------------------------
 
 

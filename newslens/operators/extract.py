@@ -67,9 +67,14 @@ def own_domain(links: DataFrame, domain_col: str = "domain") -> DataFrame:
     return links.filter(F.col("link").contains(F.col(domain_col)))
 
 
+def headline(html) -> F.Column:
+    """Stripped text of the first h1."""
+    return T.tag_text(F.regexp_extract(T.col_(html), H1_RE, 1))
+
+
 def page_headline(pages: DataFrame) -> DataFrame:
     """Stripped text of the first h1."""
-    return pages.select("page_id", T.tag_text(F.regexp_extract("html", H1_RE, 1)).alias("headline"))
+    return pages.select("page_id", headline("html").alias("headline"))
 
 
 def paragraphs(html) -> F.Column:
@@ -80,10 +85,10 @@ def paragraphs(html) -> F.Column:
     return F.transform(ps, lambda p: T.tag_text(F.substring_index(p, "</p>", 1)))
 
 
-def page_body(pages: DataFrame, joiner: str = " ") -> DataFrame:
-    """X11: paragraphs joined by ``joiner``; no paragraph -> 'N/A'."""
+def page_body(pages: DataFrame, joiner: str = " ", also: tuple[F.Column, ...] = ()) -> DataFrame:
+    """X11: paragraphs joined by ``joiner``; no paragraph -> 'N/A'. ``also``: more columns of the same page."""
     ps = paragraphs("html")
-    return pages.select("page_id", "url", F.size(ps).cast("bigint").alias("n_paragraphs"),
+    return pages.select("page_id", "url", *also, F.size(ps).cast("bigint").alias("n_paragraphs"),
                         F.when(F.size(ps) > 0, F.array_join(ps, joiner)).otherwise(F.lit(NOT_FOUND)).alias("body"))
 
 
@@ -105,8 +110,11 @@ def yield_counts(articles: DataFrame) -> DataFrame:
 
 
 def join_bodies(cands: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Candidate links left-joined to article pages (the nested fetch as a join)."""
-    b = bodies.select(clean_url("url").alias("_u"), "body")
+    """Candidate links left-joined to article pages (the nested fetch as a join).
+
+    A link is fetched once: of several pages with one clean URL the smallest page_id counts.
+    """
+    b = bodies.groupBy(clean_url("url").alias("_u")).agg(F.min_by("body", "page_id").alias("body"))
     return cands.join(b, cands["link"] == b["_u"], "left").drop("_u")
 
 
@@ -229,9 +237,9 @@ def parse_html(html: str) -> _Node:
     return b.root
 
 
-def cover_candidates(html: str, base: str, rule: dict) -> list[tuple[str, str]]:
-    """(link, headline) pairs of one cover page under one rule."""
-    root = parse_html(html)
+def cover_candidates(page: str | _Node, base: str, rule: dict) -> list[tuple[str, str]]:
+    """(link, headline) pairs of one cover page, HTML or parsed, under one rule."""
+    root = page if isinstance(page, _Node) else parse_html(page)
     matches = [root]
     for tag, cls, href, how in rule["cover"]:
         nxt = []
@@ -260,9 +268,9 @@ def cover_candidates(html: str, base: str, rule: dict) -> list[tuple[str, str]]:
     return out
 
 
-def article_body(html: str, rule: dict) -> str:
-    """Body of one article page under one site rule ('N/A' when the rule cannot apply)."""
-    root = parse_html(html)
+def article_body(page: str | _Node, rule: dict) -> str:
+    """Body of one article page, HTML or parsed, under one site rule ('N/A' when the rule cannot apply)."""
+    root = page if isinstance(page, _Node) else parse_html(page)
     body = ""
     if rule.get("lead"):
         tag, cls, child, suffix = rule["lead"]
@@ -306,16 +314,46 @@ def extract_candidates(pages: DataFrame, rules: list[dict] | None = None, newspa
                 site = row[2] if newspaper_col else None
                 m = re.match(BASE_RE, url or "")
                 base = m.group(1) if m else ""
+                root = parse_html(html)
                 for r in rs:
                     if site is not None and r["newspaper"] != site:
                         continue
-                    for link, headline in cover_candidates(html, base, r):
+                    for link, headline in cover_candidates(root, base, r):
                         out.append((r["newspaper"], link, headline))
             yield pd.DataFrame(out, columns=["newspaper", "link", "headline"])
 
     return pages.select(*cols).mapInPandas(run, "newspaper string, link string, headline string")
 
 
+def extract_bodies(pages: DataFrame, rules: list[dict] | None = None, newspaper_col: str | None = None,
+                   id_col: str = "page_id") -> DataFrame:
+    """Article pages x body rules -> (id_col, newspaper, body), via mapInPandas; each page is parsed once.
+
+    A newspaper with several cover rules has one body rule. With ``newspaper_col`` a page gets its own site's body, else one
+    row for each site. Null pages count as empty; a rule that cannot apply gives 'N/A'.
+    """
+    by_site = {}
+    for r in rules if rules is not None else SITE_RULES:
+        by_site.setdefault(r["newspaper"], r)
+    payload = json.dumps(list(by_site.values()))
+    id_type = pages.schema[id_col].dataType.simpleString()
+    cols = [F.col(id_col).alias("id"), F.col("html")] + ([F.col(newspaper_col).alias("site")] if newspaper_col else [])
+
+    def run(batches):
+        rs = json.loads(payload)
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                root = parse_html(row.html)
+                for r in rs:
+                    if not newspaper_col or row.site == r["newspaper"]:
+                        out.append((row.id, r["newspaper"], article_body(root, r)))
+            yield pd.DataFrame(out, columns=["id", "newspaper", "body"])
+
+    found = pages.select(*cols).mapInPandas(run, f"id {id_type}, newspaper string, body string")
+    return found.withColumnRenamed("id", id_col)
+
+
 def nav_rule(newspaper: str) -> dict:
     """Selector rule for the fixture pages' cover list: every nav link, headline = link text."""
     return {"newspaper": newspaper, "cover": [["nav", None, False, "all"], ["a", None, True, "all"]], "headline": "self"}

@@ -79,14 +79,20 @@ def x11_body(spark, sf):
     return X.page_body(_pages(spark, sf)).select("page_id", "n_paragraphs", "body")
 
 
+@query("x12_site_bodies")
+def x12_site_bodies(spark, sf):
+    """Every page under every site's body rule."""
+    return X.extract_bodies(_pages(spark, sf))
+
+
 @query("x17_candidate_body_join", f"""
 WITH {BODY_CTE},
 cands AS (SELECT {CLEAN} AS link, headline FROM heads),
-b AS (SELECT {CLEAN} AS u, body FROM bodies)
+b AS (SELECT {CLEAN} AS u, arg_min(body, page_id) AS body FROM bodies GROUP BY 1)
 SELECT c.link, c.headline, length(b.body)::BIGINT AS body_chars FROM cands c LEFT JOIN b ON c.link = b.u""")
 def x17_candidate_body_join(spark, sf):
     p = _pages(spark, sf)
-    cands = p.select(X.clean_url("url").alias("link"), "page_id").join(X.page_headline(p), "page_id").drop("page_id")
+    cands = p.select(X.clean_url("url").alias("link"), X.headline("html").alias("headline"))
     j = X.join_bodies(cands, X.page_body(p))
     return j.select("link", "headline", F.length("body").cast("bigint").alias("body_chars"))
 
@@ -98,9 +104,8 @@ def x18_drop_empty(spark, sf):
 
 def _articles(spark, sf):
     p = _pages(spark, sf)
-    kept = X.drop_empty_bodies(X.page_body(p))
-    c = kept.join(X.page_headline(p), "page_id").select(
-        "headline", "body", X.clean_url("url").alias("link"), X.host("url").alias("newspaper"))
+    kept = X.drop_empty_bodies(X.page_body(p, also=(X.headline("html").alias("headline"),)))
+    c = kept.select("headline", "body", X.clean_url("url").alias("link"), X.host("url").alias("newspaper"))
     return X.article_rows(c, CRAWL_DATE)
 
 

@@ -160,26 +160,26 @@ def _lv(spark, sf):
 @query("e1_hash_embed")
 def e1_hash_embed(spark, sf):
     e = VE.text_embeddings(documents(spark, sf))
-    return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"))
+    return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"), "embedding")
 
 
 @query("e2_topic_embed")
 def e2_topic_embed(spark, sf):
-    tops = top_topics(by_doc(documents(spark, sf)))
-    e = VE.topic_embeddings(tops)
-    return e.select("doc_id", F.size("topic_embedding").cast("bigint").alias("len"))
+    docs = documents(spark, sf)
+    e = VE.topic_embeddings(top_topics(by_doc(docs)), docs=docs)
+    return e.select("doc_id", F.size("topic_embedding").cast("bigint").alias("len"), "topic_embedding")
 
 
 @query("e3_pca")
 def e3_pca(spark, sf):
     r = VE.pca(_emb(spark, sf), "embedding")
-    return r.select("vec_id", F.size("reduced").cast("bigint").alias("k"))
+    return r.select("vec_id", F.size("reduced").cast("bigint").alias("k"), "reduced")
 
 
 @query("r4_smote")
 def r4_smote(spark, sf):
     s = NB.smote(_lv(spark, sf), id_col="vec_id", vec_col="embedding", label="label")
-    return s.select("parent_id", "nn_id", "label")
+    return s.select("parent_id", "nn_id", "label", "u", "vec")
 
 
 @query("r5_tomek", f"""

@@ -83,3 +83,28 @@ def test_native_body_and_empty_filter(spark):
     h = X.page_headline(pages).filter("page_id = 1").first()["headline"]
     assert h == "T & t"
     assert pages.select(X.clean_url("url")).first()[0] == "https://s.example/x"
+
+
+def test_dates_with_time_and_month_names(spark):
+    texts = ["2024-01-05T10:30:00", "2024-01-05 10:30:00", "05/01/2024 10:30", "5 Jan 2024", "5 January 2024", "05/01/24", None]
+    d = spark.createDataFrame([(t,) for t in texts], "fecha string")
+    got = [r[0] for r in d.select(C.parse_dates("fecha")).collect()]
+    assert [str(g) for g in got[:-1]] == ["2024-01-05"] * 6 and got[-1] is None
+
+
+def test_site_bodies_as_rows(spark):
+    page = "<div class='article-main__content'><p>one</p><p>two</p></div><p>out</p>"
+    rows = [(1, page, "LA RAZON"), (2, page, "EL PUBLICO"), (3, page, "EL CONFIDENCIAL"), (4, None, "LA RAZON"), (5, page, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string, newspaper string")
+    own = {r["page_id"]: r["body"] for r in X.extract_bodies(pages, newspaper_col="newspaper").collect()}
+    assert own == {1: "\none\ntwo", 2: "\none\ntwo\nout", 3: "N/A", 4: "N/A"}
+    every = X.extract_bodies(pages)
+    assert every.count() == len(rows) * 6
+    by_hand = {(i, r["newspaper"]): X.article_body(h, r) for i, h, _ in rows for r in X.SITE_RULES}
+    assert {(r["page_id"], r["newspaper"]): r["body"] for r in every.collect()} == by_hand
+
+
+def test_repeated_page_joins_once(spark):
+    cands = spark.createDataFrame([("http://a.b/x",)], "link string")
+    bodies = spark.createDataFrame([(2, "http://a.b/x?q", "late"), (1, "http://a.b/x#p", "early")], "page_id bigint, url string, body string")
+    assert [r["body"] for r in X.join_bodies(cands, bodies).collect()] == ["early"]

@@ -95,6 +95,9 @@ def test_topic_embeddings_padding(spark):
     e = {r["doc_id"]: r["topic_embedding"] for r in VE.topic_embeddings(tops, dim=16).collect()}
     assert len(e[1]) == 48 and len(e[2]) == 48
     assert e[1][:16] == e[2][:16] and all(v == 0.0 for v in e[2][16:])
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id bigint")
+    every = {r["doc_id"]: r["topic_embedding"] for r in VE.topic_embeddings(tops, dim=16, docs=docs).collect()}
+    assert every == {**e, 3: [0.0] * 48}  # a document without topics
 
 
 def test_cluster_members_rows(spark):
