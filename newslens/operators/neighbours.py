@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newslens.functions.lexicons import SEED
 from newslens.operators.common import class_counts, hash_rank, maybe_broadcast
 from newslens.operators.knn import knn
+from newslens.session import ensure_checkpoint_dir, materialize
 
 
 def _u01(*cols) -> F.Column:
@@ -67,6 +68,24 @@ def enn_keep(df: DataFrame, id_col: str = "id", vec_col: str = "vec", label: str
     return df.join(agree.filter("ok").select(F.col("qid").alias(id_col)), id_col, "left_semi")
 
 
+def smote_and_clean(df: DataFrame, keep, id_col: str = "id", vec_col: str = "vec", label: str = "label", k: int = 5,
+                    seed: int = SEED) -> DataFrame:
+    """R4 + R5: the rows and their SMOTE rows together, cleaned by ``keep`` (``tomek_keep`` or ``enn_keep``).
+
+    Output: (key, id_col, parent_id, label, vec_col); a SMOTE row has a parent_id and a null id. ``key`` is the id of a given
+    row and numbers the SMOTE rows beyond the largest id; it is fixed by the checkpoint.
+    """
+    made = smote(df, id_col, vec_col, label, k, seed)
+    given = df.select(F.col(id_col).cast("bigint").alias("key"), id_col, F.lit(None).cast(df.schema[id_col].dataType).alias("parent_id"),
+                      label, F.col(vec_col).cast("array<double>").alias(vec_col))
+    largest = df.select(F.max(F.col(id_col).cast("bigint"))).scalar()
+    added = made.select((largest + 1 + F.monotonically_increasing_id()).alias("key"), F.lit(None).cast(df.schema[id_col].dataType).alias(id_col),
+                        "parent_id", label, F.col("vec").alias(vec_col))
+    ensure_checkpoint_dir(df.sparkSession)
+    both = materialize(given.unionByName(added))  # read several times by the k-NN
+    return keep(both, id_col="key", vec_col=vec_col, label=label)
+
+
 def nearest_original(synthetic: DataFrame, originals: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """(id, orig_id) - the nearest original row (Euclidean) of each synthetic row."""
     nn = knn(synthetic, originals, k=1, id_col=id_col, vec_col=vec_col, metric="euclidean", exclude_self=False)

@@ -105,3 +105,18 @@ def test_edge_weight_guards(spark):
     f2 = G.edge_features(pairs.filter("j != 3"), same_day)
     assert G.weighted_edges(f2).count() == 0  # zero date range -> no edge
     assert G.edge_guard_counts(f2).first()["undefined_weight"] == 2
+
+
+def test_smote_and_clean(spark):
+    """Balanced first, then without the pair of mutual nearest neighbours whose labels differ."""
+    far = [(i, [float(i), 0.0], 0) for i in range(6)] + [(10 + i, [float(i), 50.0], 1) for i in range(3)]
+    pair = [(20, [200.0, 200.0], 0), (21, [200.0, 200.5], 1)]
+    df = spark.createDataFrame(far + pair, "id bigint, vec array<double>, label int")
+    made = NB.smote(df, k=2).collect()
+    assert len(made) == 3
+    rows = [(i, None, v, y) for i, v, y in far + pair] + [(None, r["parent_id"], r["vec"], r["label"]) for r in made]
+    near = [min((sum((a - b) ** 2 for a, b in zip(v, w[2])), j) for j, w in enumerate(rows) if j != i)[1] for i, (_, _, v, _) in enumerate(rows)]
+    kept = [r for i, r in enumerate(rows) if not (near[near[i]] == i and rows[near[i]][3] != r[3])]
+    got = NB.smote_and_clean(df, NB.tomek_keep, k=2).collect()
+    assert len({r["key"] for r in got}) == len(got) == len(kept) < len(rows)
+    assert {(r["id"], r["parent_id"], tuple(r["vec"]), r["label"]) for r in got} == {(i, p, tuple(v), y) for i, p, v, y in kept}
