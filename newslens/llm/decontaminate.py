@@ -2,26 +2,35 @@
 
 A text is read as words, numbers, unit signs and sentence ends. Canonicalisation lower-cases words and replaces what a
 re-parameterised question changes by typed placeholders: numbers by <num>, unit signs and unit words after a number by
-<unit>, names - capitalised words that don't open a sentence - by <name>. Every window of WINDOW canonical tokens is
-hashed; the documents' windows are hash-joined with those of the benchmark items. (A shorter item is one window of its own
-length.) Item windows with fewer than LITERALS ordinary words are left out, as placeholders alone prove nothing.
+<unit>, names - runs of capitalised words, however many words they have - by one <name>. A capitalised word that opens a
+sentence may be a name or not, so texts are read both ways: as a word, and, in the windows that hold such a word, as the
+start of a name. Every window of WINDOW canonical tokens is hashed; the documents' windows are hash-joined with those of
+the benchmark items. (A shorter item is one window of its own length.) Item windows with fewer than LITERALS ordinary words
+prove nothing by their placeholders; where an item has such windows, windows of its plain lower-case tokens take their
+place, so that word-for-word copies of every item are found.
 
-Windows that match in a row lie on one diagonal (position in the text minus position in the item). A diagonal is a hit if
-it covers COVERAGE of the item's windows. Then the slots are compared: each value of the item must stand for one value in
-the text throughout, and different values of a type for different ones, so that "12 ... 12" may become "7 ... 7" but not
-"7 ... 9". With equal values throughout the passage is verbatim, with consistent others re-parameterised.
+Positions are those of the tokens, whatever form a window has. Windows that match in a row lie on one diagonal (position in
+the text minus position in the item); a word put in or left out moves the rest to another one. A candidate is a diagonal, or
+a chain of diagonals of one document and item whose neighbours are at most half the item's length (or WINDOW) apart. It is a
+hit if its distinct item windows are COVERAGE of the item's template windows, or of all its windows. Then the slots inside
+matched windows are compared: each value of the item must stand for one value in the text throughout, so that "12 ... 12" may
+become "7 ... 7" but not "7 ... 9"; two values of the item may become one. With equal values the passage is verbatim,
+with consistent others re-parameterised. Words that open sentences are not held to that.
 
-The benchmark side is broadcast while it has at most MOST_BROADCAST windows, and joined by a shuffle beyond that. Slots are read only from documents with a hit. Window rows hold ids and hashes, never texts.
+The benchmark side is broadcast while it has at most MOST_BROADCAST windows, and joined by a shuffle beyond that. Slots are
+read only from documents with a hit. Documents and items are keyed by the MD5 of their text, and window rows hold keys and
+hashes, never texts; ids are joined on at the end.
 
 Cases: null and empty texts have no windows; texts are read whole; repeated windows of an item are joined once each;
-repeated documents are flagged alike, and count as one where they share an id; rows without an id are one document;
-items without words match nothing; empty tables give no rows.
+repeated documents are flagged alike; rows that share an id, or have none, are judged each by its own text, and so are
+items; items without words match nothing; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newslens.llm.common import stage
 from newslens.operators.common import maybe_broadcast
@@ -39,6 +48,9 @@ UNITS = (
     "kilometre miles mile feet foot inches inch grams gram kilograms kilogram liters liter litres litre seconds second "
     "minutes minute hours hour days day weeks week months month years year degrees degree").split()
 ENDS = [".", "!", "?", ":", "\n"]
+#: Before a capitalised word that opens a sentence, and for a name right after it; no token holds these signs.
+OPENER = "^"
+AFTER = "+"
 # --- end fixed values -----------------------------------------------------------------------------------
 
 # Possessive, and the commonest letters listed before the class of all: the same matches without trying again.
@@ -51,98 +63,205 @@ def tokens(text: Column) -> Column:
 
 
 def _kinds(toks: str) -> Column:
-    """The canonical form of every token of an array column; sentence ends stay as they are."""
+    """The canonical form of every token of an array column. What has no place of its own is empty: sentence ends, and names
+    after a name. A capitalised word that opens a sentence is in lower case after OPENER, and a name next to it is AFTER."""
+
+    def capital(t):
+        first, rest = F.substring(t, 1, 1), F.substring(t, 2, 1 << 30)
+        return (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest)) & ~t.isin(SIGNS)
 
     def canonical(t, i):
         before = F.when(i > 0, F.get(F.col(toks), i - 1))
-        first, rest = F.substring(t, 1, 1), F.substring(t, 2, 1 << 30)
+        first = F.substring(t, 1, 1)
         after_number = F.substring(before, 1, 1).between("0", "9")
         unit = F.lower(t).isin(UNITS) & after_number
-        name = (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest)) & before.isNotNull() & ~before.isin(ENDS)
+        opens = before.isNull() | before.isin(ENDS)
+        # what stands before is a name, too, unless it is a unit
+        second = F.when(i > 1, F.get(F.col(toks), i - 2))
+        follows = capital(before) & ~(F.lower(before).isin(UNITS) & F.coalesce(F.substring(second, 1, 1).between("0", "9"), F.lit(False)))
+        name = F.when(opens, F.concat(F.lit(OPENER), F.lower(t))).when(~follows, "<name>").when(second.isNull() | second.isin(ENDS), AFTER).otherwise("")
         # most tokens begin with a small letter: neither number, sign nor name
         return (F.when(first.between("a", "z"), F.when(unit, "<unit>").otherwise(F.lower(t)))
-                .when(first.between("0", "9"), "<num>").when(t.isin(SIGNS) | unit, "<unit>")
-                .when(name, "<name>").otherwise(F.lower(t)))
+                .when(first.between("0", "9"), "<num>").when(t.isin(ENDS), "").when(t.isin(SIGNS) | unit, "<unit>")
+                .when(capital(t), name).otherwise(F.lower(t)))
 
     return F.transform(toks, canonical)
 
 
-def _templates(rows: DataFrame) -> DataFrame:
-    """rows (id, text) -> (id, canon): canonical tokens without sentence ends."""
+def _from_one(n: Column) -> Column:
+    return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def _templates(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (id, text) -> (id, canon_F, places_F) of the forms word (sentence openers are words) and name (they are names),
+    and opens: where they stand in canon_name. Places count all tokens from 1. ``keep``: toks and kinds, to hold besides."""
+    def kind(i):
+        return F.get("kinds", i - 1)
+
     toks = rows.select("id", tokens(F.col("text")).alias("toks"))
-    kinds = toks.select("id", _kinds("toks").alias("kinds"))
-    return kinds.select("id", F.filter("kinds", lambda t: ~t.isin(ENDS)).alias("canon"))
+    kinds = toks.select("id", "toks", _kinds("toks").alias("kinds"))
+    word = kinds.select("*", F.filter(_from_one(F.size("kinds")), lambda i: kind(i) != "").alias("places_word"))
+    name = word.select("*", F.filter("places_word", lambda i: kind(i) != AFTER).alias("places_name"))
+    return name.select(
+        "id", *keep, "places_word", "places_name",
+        F.transform("places_word", lambda i: F.when(kind(i).startswith(OPENER), F.substring(kind(i), 2, 1 << 30)).when(kind(i) == AFTER, "<name>").otherwise(kind(i))).alias("canon_word"),
+        F.transform("places_name", lambda i: F.when(kind(i).startswith(OPENER), "<name>").otherwise(kind(i))).alias("canon_name"),
+        F.filter(_from_one(F.size("places_name")), lambda k: kind(F.get("places_name", k - 1)).startswith(OPENER)).alias("opens"))
+
+
+def _literals(rows: DataFrame) -> DataFrame:
+    """rows (id, text) -> (id, canon_plain, places_plain): all tokens in lower case, without sentence ends."""
+    toks = rows.select("id", F.transform(tokens(F.col("text")), F.lower).alias("low"))
+    placed = toks.select("id", "low", F.filter(_from_one(F.size("low")), lambda i: ~F.get("low", i - 1).isin(ENDS)).alias("places_plain"))
+    return placed.select("id", F.transform("places_plain", lambda i: F.get("low", i - 1)).alias("canon_plain"), "places_plain")
 
 
-def _windows(templates: DataFrame, lengths: list[int]) -> DataFrame:
-    """(id, at, size, h): the hash of every window of each length."""
+def _starts(form: str, n: int) -> Column:
+    """Where windows of n tokens begin; those of the form name only where one holds a sentence opener."""
+    last = F.size(f"canon_{form}") - n + 1
+    if form != "name":
+        return _from_one(last)
+    near = F.transform("opens", lambda p: F.when((F.greatest(p - n + 1, F.lit(1)) <= F.least(p, last)), F.sequence(F.greatest(p - n + 1, F.lit(1)), F.least(p, last))).otherwise(F.array().cast("array<int>")))
+    return F.array_distinct(F.flatten(near))
 
-    def hashes(n: int) -> Column:
-        starts = F.when(F.size("canon") >= n, F.sequence(F.lit(1), F.size("canon") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice("canon", i, n)))
 
-    found = [hashes(n) for n in lengths]
-    one_array = templates.select("id", F.size("canon").alias("m"), (found[0] if len(found) == 1 else F.concat(*found)).alias("hashes"))
+def _windows(templates: DataFrame, forms: list[str], lengths: list[int]) -> DataFrame:
+    """(id, at, form, size, h): the hash of every window of each form and length, and the place of its first token."""
+
+    def hashes(form: str, n: int) -> Column:
+        return F.transform(f"starts_{form}_{n}", lambda i: F.struct(
+            F.get(F.col(f"places_{form}"), i - 1).alias("at"), F.lit(form).alias("form"), F.lit(n).alias("size"), F.xxhash64(F.slice(f"canon_{form}", i, n)).alias("h")))
+
+    kinds = [(form, n) for form in forms for n in lengths]
+    begun = templates.select("*", *[_starts(f, n).alias(f"starts_{f}_{n}") for f, n in kinds])
+    found = [hashes(f, n) for f, n in kinds]
+    one_array = begun.select("id", (found[0] if len(found) == 1 else F.concat(*found)).alias("windows"))
     # outer: for a plain explode Spark infers a filter on the array and evaluates the whole expression a second time, per
     # element, below the projections that hold its parts
-    exploded = one_array.select("id", "m", F.posexplode_outer("hashes").alias("place", "h")).where(F.col("h").isNotNull())
-    # the windows of each length follow those of the length before
-    ends, total = [], F.lit(0)
-    for n in lengths:
-        total = total + F.greatest(F.col("m") - n + 1, F.lit(0))
-        ends.append(total)
-    size, at = F.lit(lengths[-1]), F.col("place") - (ends[-2] if len(ends) > 1 else F.lit(0)) + 1
-    for k in range(len(lengths) - 2, -1, -1):
-        inside = F.col("place") < ends[k]
-        size = F.when(inside, lengths[k]).otherwise(size)
-        at = F.when(inside, F.col("place") - (ends[k - 1] if k else F.lit(0)) + 1).otherwise(at)
-    return exploded.select("id", at.alias("at"), size.alias("size"), "h")
+    exploded = one_array.select("id", F.explode_outer("windows").alias("w")).where(F.col("w").isNotNull())
+    return exploded.select("id", "w.at", "w.form", "w.size", "w.h")
+
+
+def _item_windows(listed: DataFrame, form: str, window: int) -> DataFrame:
+    """(id, at, form, size, h, ordinary) of the items' windows: window tokens, or all of a shorter item. ``form`` word or plain; name as word, all its windows."""
+    canon = F.col(f"canon_{form}")
+    n = F.least(F.size(canon), F.lit(window))
+    each = listed.where(F.size(canon) > 0).select("id", canon.alias("canon"), f"places_{form}", n.alias("size"), F.explode(F.sequence(F.lit(1), F.size(canon) - n + 1)).alias("i"))
+    cut = F.slice("canon", F.col("i"), F.col("size"))
+    ordinary = F.size(F.filter(cut, lambda t: ~t.isin("<num>", "<unit>", "<name>")))
+    return each.select("id", F.get(f"places_{form}", F.col("i") - 1).alias("at"), F.lit(form).alias("form"), "size", F.xxhash64(cut).alias("h"), ordinary.alias("ordinary"))
 
 
 def _slots(rows: DataFrame) -> DataFrame:
-    """rows (id, text) -> (id, slots): for each canonical token, in order, (kind, value)."""
-    toks = rows.select("id", tokens(F.col("text")).alias("toks"))
-    both = toks.select("id", F.arrays_zip(_kinds("toks").alias("kind"), F.col("toks").alias("value")).alias("pairs"))
-    return both.select("id", F.filter("pairs", lambda p: ~p["kind"].isin(ENDS)).alias("slots"))
+    """rows (id, text) -> (id, slots): for each form, in order, (kind, value, place, whether it opens a sentence) of the canonical tokens."""
+    held = _templates(rows, "toks", "kinds")
+
+    def listed(form: str) -> Column:
+        places = F.col(f"places_{form}")
+
+        def slot(i, k):
+            run = F.slice("toks", i, F.coalesce(F.get(places, k + 1), F.size("toks") + 1) - i)
+            return F.struct(F.get(f"canon_{form}", k).alias("kind"), F.lower(F.array_join(F.filter(run, lambda t: ~t.isin(ENDS)), " ")).alias("value"),
+                            i.alias("place"), F.get("kinds", i - 1).startswith(OPENER).alias("opens"))
+
+        return F.transform(places, slot)
+
+    return held.select("id", listed("word").alias("word"), listed("name").alias("name"))
+
+
+def _keyed(rows: DataFrame, text_col: str) -> DataFrame:
+    """(id, text) with the text's digest as id."""
+    text = F.col(text_col).cast("string")
+    return rows.select(F.md5(text).alias("id"), text.alias("text"))
+
+
+def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, literals: int, coverage: float) -> DataFrame:
+    """(id, item, n, share, same), digests of texts for ids, for every document and item it contains; the best candidate counts."""
+    texts = _keyed(docs, text_col)
+    questions = stage(_keyed(items, text_col).where(F.col("text").isNotNull()).dropDuplicates(["id"]), "items")
+    # staged, as Spark would evaluate the nested expressions anew for each window
+    listed = stage(_templates(questions).join(_literals(questions), "id"), "templates")
+    words, names = _item_windows(listed, "word", window), _item_windows(listed.where(F.size("opens") > 0), "name", window)
+    own = words.unionByName(names).where(F.col("ordinary") >= F.least(F.lit(literals), F.col("size"))).drop("ordinary").distinct()
+    plain = _item_windows(listed, "plain", window).drop("ordinary").join(own.select("id", "at").distinct(), ["id", "at"], "left_anti")
+    own = stage(own.unionByName(plain).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "form", "size", "h"), "windows")
+    sizes = {(r.form == "plain", r["size"]) for r in own.select("form", "size").distinct().collect()}
+    template = F.col("form") != "plain"
+    totals = own.groupBy("item").agg(F.countDistinct("item_at").alias("total"), F.countDistinct(F.when(template, F.col("item_at"))).alias("templates"),
+                                     F.max(F.col("item_at") + F.col("size")).alias("long"))
+    totals = maybe_broadcast(totals, MOST_BROADCAST)
+
+    streams = []
+    for literal in (False, True):
+        lengths = sorted(n for k, n in sizes if k == literal)
+        if lengths:
+            given = _literals(texts) if literal else _templates(texts)
+            mine = own.where(~template if literal else template)
+            # a window without a sentence opener is the same in both forms: it is sought as a word
+            mine = mine.withColumnRenamed("form", "item_form")
+            streams.append(_windows(given, ["plain"] if literal else ["word", "name"], lengths).join(maybe_broadcast(mine, MOST_BROADCAST), ["h", "size"]))
+    if not streams:
+        return texts.select("id", F.col("id").alias("item"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("share"), F.lit(True).alias("same")).limit(0)
+    matched = streams[0] if len(streams) == 1 else streams[0].unionByName(streams[1])
+    matched = matched.select("id", "item", "at", "item_at", "form", "item_form", "size").distinct().withColumn("shift", F.col("at") - F.col("item_at"))
+    pair = Window.partitionBy("id", "item").orderBy("shift")
+    apart = F.col("shift") - F.lag("shift").over(pair) > F.greatest(F.lit(window), F.col("long") / 2)
+    chained = matched.join(totals, "item").withColumn("apart", apart.cast("int"))
+    chained = stage(chained.withColumn("chain", F.sum(F.coalesce("apart", F.lit(0))).over(pair)), "matched")
+    n, n_templates = F.countDistinct("item_at").alias("n"), F.countDistinct(F.when(template, F.col("item_at"))).alias("n_templates")
+    diagonal = chained.groupBy("id", "item", "chain", "shift", "total", "templates").agg(n, n_templates)
+    chain = chained.groupBy("id", "item", "chain", F.lit(None).cast("int").alias("shift"), "total", "templates").agg(n, n_templates)
+    share = F.greatest(F.col("n") / F.col("total"), F.when(F.col("templates") > 0, F.col("n_templates") / F.col("templates")))
+    hits = stage(diagonal.unionByName(chain).withColumn("share", share).where(F.col("share") >= coverage), "hits")
+
+    # for each item window of a candidate one place in the text: on the diagonal with most windows
+    of_diagonal = diagonal.select("id", "item", "chain", "shift", F.col("n").alias("weight"))
+    weighed = chained.join(hits.select("id", "item", "chain").distinct(), ["id", "item", "chain"], "left_semi").join(of_diagonal, ["id", "item", "chain", "shift"])
+    cell = F.struct("at", "item_at", "form", "item_form", "size")
+    in_chain = weighed.groupBy("id", "item", "chain", "item_at").agg(F.max_by(cell, F.struct("weight", -F.col("shift"), F.col("form") == "word")).alias("cell"))
+    in_chain = in_chain.groupBy("id", "item", "chain").agg(F.collect_list("cell").alias("cells")).withColumn("shift", F.lit(None).cast("int"))
+    in_diagonal = weighed.groupBy("id", "item", "chain", "shift", "item_at").agg(F.max_by(cell, F.struct(F.col("form") == "word", F.col("item_form") == "word")).alias("cell"))
+    in_diagonal = in_diagonal.groupBy("id", "item", "chain", "shift").agg(F.collect_list("cell").alias("cells"))
+    cells = in_chain.unionByName(in_diagonal).select("id", "item", "chain", "cells", F.col("shift").alias("of_shift"))
+    placed = hits.join(cells, ["id", "item", "chain"]).where(F.col("shift").eqNullSafe(F.col("of_shift")))
+
+    with_hits = texts.join(maybe_broadcast(hits.select("id").distinct(), MOST_BROADCAST), "id", "left_semi").dropDuplicates(["id"])
+    in_doc = _slots(with_hits).select("id", F.col("word").alias("doc_word"), F.col("name").alias("doc_name"))
+    in_item = _slots(questions).select(F.col("id").alias("item"), F.col("word").alias("item_word"), F.col("name").alias("item_name"))
+    pairs = placed.join(in_doc, "id").join(in_item, "item")
+
+    def filled(c):
+        said, asked = F.when(c["form"] == "name", F.col("doc_name")).otherwise(F.col("doc_word")), F.when(c["item_form"] == "name", F.col("item_name")).otherwise(F.col("item_word"))
+
+        def part(slots, at):
+            return F.slice(slots, F.array_position(F.transform(slots, lambda x: x["place"]), at).cast("int"), c["size"])
+
+        return F.zip_with(part(asked, c["item_at"]), part(said, c["at"]), lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), b["value"].alias("said"), (a["opens"] | b["opens"]).alias("opens")))
+
+    # plain windows are equal as they are
+    every = F.flatten(F.transform(F.filter("cells", lambda c: c["form"] != "plain"), filled))
+    pairs = pairs.withColumn("filled", F.array_distinct(F.filter(every, lambda x: x["kind"].isin("<num>", "<unit>", "<name>"))))
+    held = F.array_distinct(F.transform(F.filter("filled", lambda x: ~x["opens"]), lambda x: F.struct(x["kind"], x["asked"], x["said"])))
+    pairs = pairs.withColumn("held", held)
+    consistent = F.size(F.array_distinct(F.transform("held", lambda x: F.struct(x["kind"], x["asked"])))) == F.size("held")
+    same = ~F.exists("filled", lambda x: ~x["asked"].eqNullSafe(x["said"]))
+    judged = pairs.where(consistent).select("id", "item", "n", "share", same.alias("same"))
+    best = judged.groupBy("id", "item").agg(F.max(F.struct("n", "same", "share")).alias("b"))
+    return stage(best.select("id", "item", F.col("b.n").cast("bigint").alias("n"), F.col("b.share").alias("share"), F.col("b.same").alias("same")), "decisions")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
                  window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_col, item_col, n_windows, coverage, verbatim) for every document and item it contains; the best diagonal counts."""
-    texts = docs.select(F.col(doc_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    questions = items.select(F.col(item_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    listed = stage(_templates(questions).where(F.size("canon") > 0), "items")
-    lengths = sorted(r[0] for r in listed.select(F.least(F.size("canon"), F.lit(window))).distinct().collect())
-    if not lengths:
-        lengths = [window]
-    own = _windows(listed.select("id", "canon"), lengths).join(listed.select("id", "canon"), "id")
-    ordinary = F.size(F.filter(F.slice("canon", F.col("at"), F.col("size")), lambda t: ~t.isin("<num>", "<unit>", "<name>")))
-    own = own.where((F.col("size") == F.least(F.size("canon"), F.lit(window))) & (ordinary >= F.least(F.lit(literals), F.col("size"))))
-    own = stage(own.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "size", "h").distinct(), "windows")
-    totals = maybe_broadcast(own.groupBy("item").agg(F.count("*").alias("total")), MOST_BROADCAST)
-
-    matched = _windows(_templates(texts), lengths).join(maybe_broadcast(own, MOST_BROADCAST), ["h", "size"])
-    diagonals = matched.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("item_at").alias("n"), F.min("item_at").alias("first"), F.max(F.col("item_at") + F.col("size")).alias("end"))
-    hits = stage(diagonals.join(totals, "item").where(F.col("n") >= coverage * F.col("total")), "hits")
-
-    hit_ids = maybe_broadcast(hits.select("id").distinct(), MOST_BROADCAST)
-    with_hits = texts.join(hit_ids, texts["id"].eqNullSafe(hit_ids["id"]), "left_semi")
-    in_doc = _slots(with_hits).withColumnRenamed("id", "doc")
-    in_item = _slots(questions).select(F.col("id").alias("question"), F.col("slots").alias("asked"))
-    pairs = hits.join(in_doc, F.col("id").eqNullSafe(F.col("doc"))).join(in_item, F.col("item").eqNullSafe(F.col("question")))
-    span = F.sequence(F.col("first"), F.col("end") - 1)
-    filled = F.transform(span, lambda i: F.struct(F.get("asked", i - 1)["kind"].alias("kind"), F.lower(F.get("asked", i - 1)["value"]).alias("asked"), F.lower(F.get("slots", i + F.col("shift") - 1)["value"]).alias("said")))
-    pairs = pairs.withColumn("filled", F.array_distinct(F.filter(filled, lambda s: s["kind"].isin("<num>", "<unit>", "<name>"))))
-    one_to_one = ((F.size(F.array_distinct(F.transform("filled", lambda s: F.struct(s["kind"], s["asked"])))) == F.size("filled"))
-                  & (F.size(F.array_distinct(F.transform("filled", lambda s: F.struct(s["kind"], s["said"])))) == F.size("filled")))
-    same = ~F.exists("filled", lambda s: ~s["asked"].eqNullSafe(s["said"]))
-    judged = pairs.where(one_to_one).select("id", "item", "n", (F.col("n") / F.col("total")).alias("share"), same.alias("same"))
-    best = judged.groupBy("id", "item").agg(F.max(F.struct("n", "same", "share")).alias("b"))
-    return best.select(F.col("id").alias(doc_col), F.col("item").alias(item_col), F.col("b.n").cast("bigint").alias("n_windows"), F.col("b.share").alias("coverage"), F.col("b.same").alias("verbatim"))
+    """(doc_col, item_col, n_windows, coverage, verbatim) for every document and item it contains; the best candidate counts."""
+    decided = _decisions(docs, items, text_col, window, literals, coverage)
+    asked = items.select(F.md5(F.col(text_col).cast("string")).alias("item"), F.col(item_col).alias("_item"))
+    named = maybe_broadcast(decided.join(asked, "item"), MOST_BROADCAST)
+    ids = docs.select(F.md5(F.col(text_col).cast("string")).alias("id"), F.col(doc_col).alias("_doc"))
+    best = ids.join(named, "id").groupBy("_doc", "_item").agg(F.max(F.struct("n", "same", "share")).alias("b"))
+    return best.select(F.col("_doc").alias(doc_col), F.col("_item").alias(item_col), F.col("b.n").alias("n_windows"), F.col("b.share").alias("coverage"), F.col("b.same").alias("verbatim"))
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, that hold no benchmark item."""
-    flagged = stage(contaminated(docs, items, doc_col).select(F.col(doc_col).alias("_flagged")).distinct(), "flagged")
-    return docs.join(maybe_broadcast(flagged, MOST_BROADCAST), docs[doc_col].eqNullSafe(flagged["_flagged"]), "left_anti")
+    flagged = _decisions(docs, items, text_col, WINDOW, LITERALS, COVERAGE).select(F.col("id").alias("_flagged")).distinct()
+    return docs.join(maybe_broadcast(flagged, MOST_BROADCAST), F.md5(docs[text_col].cast("string")) == flagged["_flagged"], "left_anti")

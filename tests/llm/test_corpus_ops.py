@@ -292,3 +292,19 @@ def test_pipeline_stages(spark):
     assert not any(" ".join(i.split()) in " ".join(r.text.split()) for r in left for i in items)
     four = corpus_pipeline.tokens(spark, three, SMALL).collect()
     assert {r.doc_id: r.decoded_sha256 for r in four} == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in left}
+
+
+def leaks(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    return d, b, {(r.doc_id, r.item_id): (r.verbatim, r.coverage) for r in decontaminate.contaminated(d, b).collect()}
+
+
+def test_decontamination_over_neighbouring_diagonals(spark):
+    item = "Alice has many red apples in her small house, and then Tom takes some of the red apples away from there while Alice sleeps all day under the old tree"
+    changed = item.replace("Tom", "Mary Ann")
+    renamed = item.replace("Alice", "Maria Luisa")
+    w = item.split()
+    longer = " ".join([*w[:15], "really", *w[15:]])
+    assert {k: v[0] for k, v in leaks(spark, [(1, changed), (2, renamed), (3, longer), (4, " ".join(w[:12]))], [(9, item)])[2].items()} == {(1, 9): False, (2, 9): False, (3, 9): True}
+    assert leaks(spark, [(1, changed), (2, renamed)], [(9, item)])[2] == {(1, 9): (False, 1.0), (2, 9): (False, 1.0)}
