@@ -308,3 +308,10 @@ def test_decontamination_over_neighbouring_diagonals(spark):
     longer = " ".join([*w[:15], "really", *w[15:]])
     assert {k: v[0] for k, v in leaks(spark, [(1, changed), (2, renamed), (3, longer), (4, " ".join(w[:12]))], [(9, item)])[2].items()} == {(1, 9): False, (2, 9): False, (3, 9): True}
     assert leaks(spark, [(1, changed), (2, renamed)], [(9, item)])[2] == {(1, 9): (False, 1.0), (2, 9): (False, 1.0)}
+
+
+def test_decontamination_finds_short_and_numeric_items(spark):
+    sums = " ".join(f"add {i} and {i + 1}," for i in range(9))
+    docs = [(1, "He asks: What is 12 + 7? It is hard."), (2, "What is 13 + 7?"), (3, f"so {sums} done"), (4, sums.replace("add 4", "add 44"))]
+    assert set(leaks(spark, docs, [(9, "What is 12 + 7?"), (8, sums)])[2]) >= {(1, 9), (3, 8)}
+    assert (2, 9) not in leaks(spark, docs, [(9, "What is 12 + 7?")])[2]
