@@ -315,3 +315,8 @@ def test_decontamination_finds_short_and_numeric_items(spark):
     docs = [(1, "He asks: What is 12 + 7? It is hard."), (2, "What is 13 + 7?"), (3, f"so {sums} done"), (4, sums.replace("add 4", "add 44"))]
     assert set(leaks(spark, docs, [(9, "What is 12 + 7?"), (8, sums)])[2]) >= {(1, 9), (3, 8)}
     assert (2, 9) not in leaks(spark, docs, [(9, "What is 12 + 7?")])[2]
+
+
+def test_decontamination_lets_two_values_become_one(spark):
+    item = "the farmer buys 12 apples and 7 pears and then carries all of them home to the old village"
+    assert set(leaks(spark, [(1, item.replace("12", "9").replace("7", "9"))], [(9, item)])[2]) == {(1, 9)}
