@@ -320,3 +320,13 @@ def test_decontamination_finds_short_and_numeric_items(spark):
 def test_decontamination_lets_two_values_become_one(spark):
     item = "the farmer buys 12 apples and 7 pears and then carries all of them home to the old village"
     assert set(leaks(spark, [(1, item.replace("12", "9").replace("7", "9"))], [(9, item)])[2]) == {(1, 9)}
+
+
+def test_decontamination_by_text_not_id(spark):
+    item = "the farmer buys twelve apples and seven pears and then carries all of them home to the old village"
+    other = "a painter mixes three colours in the morning and paints the long wall of the school until night"
+    docs = [(None, f"x {item}"), (None, "a clean text"), (None, None), (5, "a clean text too"), (5, item)]
+    d, b, found = leaks(spark, docs, [(None, item), (7, other), (7, "What never was asked in any of the documents that are given here today")])
+    assert set(found) == {(None, None), (5, None)}
+    assert sorted(str(r.text) for r in decontaminate.without_contaminated(d, b).collect()) == ["None", "a clean text", "a clean text too"]
+    assert set(leaks(spark, [(1, other)], [(7, other), (7, item)])[2]) == {(1, 7)}
