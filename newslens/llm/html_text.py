@@ -2,10 +2,11 @@
 
 The standard library's streaming parser sends events; block-level tags cut the text into lines. Each line knows its length,
 how many tags stood in it, how much of it is link text, the elements around it, and whether one of them is boilerplate by
-its kind (nav, footer, form, script ...), role, or a word of its class or id (see the fixed lists). Boilerplate lines have
-ratio 0. The ratios, in page order, are smoothed by a Gaussian; lines at or above the standard deviation of the smoothed
+its kind (nav, footer, form, script ...), role, or a word of its class or id (see the fixed lists). Such a word doesn't count
+on an element that holds most of the page's text, if no article or main element stands outside it, nor if nothing were left.
+Boilerplate lines have ratio 0. The ratios, in page order, are smoothed by a Gaussian; lines at or above the standard deviation of the smoothed
 ratios form clusters, and the clusters' text votes for the element that holds the content: the article or main element
-around most of it, else the innermost element that holds nearly all of it. All other lines of that element which aren't
+around most of it, with the article elements beside it whose mean smoothed ratio reaches the threshold, else the innermost element that holds nearly all of it. All other lines of that element which aren't
 boilerplate belong to the content too, however short. Outside an article or main element, lines under the threshold count
 only as headings, paragraphs, list items, quotes and the like, and not when links make up most of them.
 
@@ -71,14 +72,16 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, str, bool]] = []
         self.open: list[tuple[str, int, str]] = []  # kind, number of the element, why it is skipped
         self.spans: list[list] = []
-        self.skips = self.mains = self.links = 0
+        self.parents: list[int] = []  # of each span, the number of the element around it, or -1
+        self.worded: list[int] = []  # numbers of the elements that only a word of class or id marks
+        self.skips = self.words = self.mains = self.links = 0
         self.text: list[str] = []
         self.tags = self.link_chars = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.link_chars, self.open[-1][0] if self.open else "", self.skips > 0))
+            self.lines.append((text, self.tags, self.link_chars, self.open[-1][0] if self.open else "", self.skips > self.words))
         if self.text:
             self.text = []
             self.tags = self.link_chars = 0
@@ -104,6 +107,7 @@ class Lines(HTMLParser):
             kind, number, why = self.open.pop()
             self.spans[number][2] = len(self.lines)
             self.skips -= bool(why)
+            self.words -= why == "words"
             self.mains -= kind in ("article", "main")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -130,9 +134,13 @@ class Lines(HTMLParser):
         if block or why:
             if why and not block:
                 self.flush()
+            self.parents.append(self.open[-1][1] if self.open else -1)
+            if why == "words":
+                self.worded.append(len(self.spans))
             self.open.append((tag, len(self.spans), why))
             self.spans.append([tag, len(self.lines), 0])
             self.skips += bool(why)
+            self.words += why == "words"
             self.mains += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -173,6 +181,22 @@ def smoothed(ratios: list[float], sigma: float = SIGMA, radius: int = RADIUS) ->
     return out
 
 
+def judged(parser: Lines) -> list[tuple[str, int, int, str, bool]]:
+    """The lines, those in elements that a word of class or id marks skipped as well; not by an element that holds most of
+    the page's own text, unless an article or main element stands outside it."""
+    lines = parser.lines
+    own = [0, *accumulate(0 if skipped else max(0, len(text) - linked) for text, _, linked, _, skipped in lines)]
+    contents = [(a, b) for kind, a, b in parser.spans if kind in ("article", "main") and own[b] > own[a]]
+    marked = [False] * len(lines)
+    for number in parser.worded:
+        _, a, b = parser.spans[number]
+        if (own[b] - own[a]) * 2 < own[-1] or any(d <= a or c >= b for c, d in contents):
+            marked[a:b] = [True] * (b - a)
+    if all(m or line[4] for m, line in zip(marked, lines)):
+        return lines
+    return [(*line[:4], line[4] or m) for line, m in zip(lines, marked)]
+
+
 def main_text(html: str) -> str:
     """The blocks of the page's content, joined by two line feeds."""
     parser = Lines()
@@ -180,7 +204,7 @@ def main_text(html: str) -> str:
     parser.close()
     parser.flush()
     parser.close_to(0)
-    lines = parser.lines
+    lines = judged(parser)
     ratio = [0.0 if skipped else len(text) / max(1, tags) for text, tags, _, _, skipped in lines]
     if not any(ratio):
         return ""
@@ -191,16 +215,24 @@ def main_text(html: str) -> str:
     if not any(inside):
         inside = [r > 0 for r in ratio]
     votes = [0, *accumulate(len(line[0]) * chosen for line, chosen in zip(lines, inside))]
-    first, end, strict = 0, len(lines), True
+    first, end, strict, others = 0, len(lines), True, []
     named = [(votes[b] - votes[a], i) for i, (kind, a, b) in enumerate(parser.spans) if kind in ("article", "main")]
     if named and max(named)[0] * 2 >= votes[-1]:
-        (_, first, end), strict = parser.spans[max(named)[1]], False
+        best = max(named)[1]
+        (kind, first, end), strict = parser.spans[best], False
+        for i, (other, a, b) in enumerate(parser.spans):
+            # an article may be set in several elements side by side
+            if i != best and kind == other == "article" and parser.parents[i] == parser.parents[best] and votes[b] > votes[a]:
+                shown = [k for k in range(a, b) if not lines[k][4]]
+                linked, chars = sum(lines[k][2] for k in shown), sum(len(lines[k][0]) for k in shown)
+                if sum(smooth[k] for k in shown) >= threshold * len(shown) and linked <= LINK_SHARE * chars:
+                    others.append((a, b))
     else:
         for _, a, b in parser.spans:  # a later one that holds the text lies within the earlier ones
             if votes[b] - votes[a] >= HOLDS * votes[-1]:
                 first, end = a, b
     blocks = []
-    for i in range(first, end):
+    for i in (i for a, b in sorted([(first, end), *others]) for i in range(a, b)):
         text, _, linked, kind, skipped = lines[i]
         if not skipped and not (strict and (linked > LINK_SHARE * len(text) or not (inside[i] or kind in TEXT_BLOCKS))):
             blocks.append(text)

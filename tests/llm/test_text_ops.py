@@ -116,6 +116,18 @@ def test_html_main_text(around):
     assert html_text.main_text(PAGE % around).split("\n\n") == BLOCKS
 
 
+@pytest.mark.parametrize("words", ["layout has-sidebar", "content nav-open", "page header-fixed", "story related-story"])
+def test_html_wrapper_with_a_boilerplate_word(words):
+    assert html_text.main_text(PAGE % (f"<div class='{words}'>", "</div>")).split("\n\n") == BLOCKS
+    assert html_text.main_text(f"<body><div class='{words}'><p>All the text there is.</p></div></body>") == "All the text there is."
+
+
+def test_html_article_in_two_elements():
+    one, two = "The first part of the text is the longer one, and says much. " * 6, "The second part is shorter, but belongs to it. " * 5
+    page = f"<body><div><article><p>{one}</p></article><article><p>{two}</p></article></div><footer>Us</footer></body>"
+    assert html_text.main_text(page) == f"{one.strip()}\n\n{two.strip()}"
+
+
 def test_html_cases(spark):
     pages = [None, "", "<html><body></body></html>", "plain", "<div>" * 30000 + "deep", "<nav><a href=x>menu<article><p>Unclosed menu before the text.</p></article>"]
     df = spark.createDataFrame([(i, None, h) for i, h in enumerate(pages)], "page_id bigint, url string, html string")
