@@ -13,8 +13,8 @@ The slots of a shard are numbered without a window over it: rows are counted by
 of one such cell are ranked together.
 
 Cases: a null text has no bytes, as an empty one: both have size 1 and are one group; repeated rows share a group; a group
-larger than an even share takes a shard of its own, others stay as even as they can; there may be fewer groups than shards
-(then shards stay empty); an empty table gives no rows.
+larger than an even share sets the capacity, and the walk fills the other shards up to it, so that later shards may stay
+empty; there may be fewer groups than shards (then shards stay empty, too); an empty table gives no rows.
 """
 
 from __future__ import annotations
