@@ -161,7 +161,9 @@ def _slots(rows: DataFrame) -> DataFrame:
 
         def slot(i, k):
             run = F.slice("toks", i, F.coalesce(F.get(places, k + 1), F.size("toks") + 1) - i)
-            return F.struct(F.get(f"canon_{form}", k).alias("kind"), F.lower(F.array_join(F.filter(run, lambda t: ~t.isin(ENDS)), " ")).alias("value"),
+            kind = F.get("kinds", i - 1)  # not canon: Spark would evaluate all of it anew for each token
+            kind = F.when(kind == AFTER, "<name>").when(kind.startswith(OPENER), "<name>" if form == "name" else kind).otherwise(kind)
+            return F.struct(kind.alias("kind"), F.lower(F.array_join(F.filter(run, lambda t: ~t.isin(ENDS)), " ")).alias("value"),
                             i.alias("place"), F.get("kinds", i - 1).startswith(OPENER).alias("opens"))
 
         return F.transform(places, slot)
