@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from newslens.llm import (
     bpe_replay,
+    centroids,
+    conversation_repair,
     decontaminate,
     html_text,
     maxent_lm,
@@ -15,6 +17,7 @@ from newslens.llm import (
     ngram_trie,
     quality_cnn,
     sharding,
+    suffix_dedup,
     token_counts,
     url_cascade,
 )
@@ -150,3 +153,84 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every whole text under the maximum-entropy model and its unigram base."""
     return maxent_lm.held_out_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of strings of 200 bytes that start elsewhere, too, as counts and a digest."""
+    return suffix_dedup.removed(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of 8 centroids of every vector after 10 rounds."""
+    assigned, fitted = centroids.cluster(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return centroids.with_inertia(assigned, fitted)
+
+
+def _rounds_sql() -> str:
+    square = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for r in range(1, centroids.ROUNDS + 2):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT q.rid, min(struct_pack(d := {square}, k := c{r - 1}.k)) AS best FROM q, c{r - 1} GROUP BY q.rid)")
+        if r <= centroids.ROUNDS:
+            steps.append(f"s{r} AS (SELECT best.k AS k, i, sum(x[i])::BIGINT AS t, count(*)::BIGINT AS n FROM a{r} JOIN q USING (rid), range(1, {centroids.DIMENSIONS + 1}) g(i) GROUP BY ALL)")
+            steps.append(f"c{r} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{r - 1} o LEFT JOIN "
+                         f"(SELECT k, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY k) m ON m.k = o.k)")
+    return ",\n".join(steps)
+
+
+ORACLES["op12_centroids"] = f"""
+WITH q AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: floor({centroids.SCALE} * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), x) - 1)::INTEGER AS k, x AS c FROM q QUALIFY k < {centroids.CLUSTERS}),
+{_rounds_sql()},
+f AS (SELECT vec_id, best.k AS cluster, best.d AS distance FROM a{centroids.ROUNDS + 1} JOIN q USING (rid))
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c{centroids.ROUNDS}.c, ',')) AS centroid_sha256
+FROM f JOIN c{centroids.ROUNDS} ON c{centroids.ROUNDS}.k = f.cluster"""
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the repaired digest of every conversation, after the given damage."""
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_repair.audits(conversation_repair.damaged(rows), present=F.col("present"))
+
+
+ORACLES["op13_conversations"] = """
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hit AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM raw, bits),
+kept AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hit JOIN (VALUES (1), (2)) twice(n) ON n = 1 OR f = 3 WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM kept),
+known AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM placed),
+faulty AS (SELECT conv_id, turn, role, text, pos, solid = '' AS blank, solid <> '' AND again AS duplicate, solid <> '' AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated,
+  pos > 1 AND lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM known),
+every AS (SELECT DISTINCT conv_id FROM conversations),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+  count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, max(pos) AS n FROM faulty GROUP BY conv_id),
+ops(st, op, initial, goes, price) AS (VALUES (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0),
+  (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3)),
+ext(goes, st, ins, price) AS (VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0), (0, 2, 'I', 3), (1, 2, 'I', 3), (3, 2, 'I', 3), (2, 3, 'I', 3), (0, 3, 'II', 6), (1, 3, 'II', 6)),
+v AS (SELECT conv_id, 0::BIGINT AS pos, st, price AS cost, ins AS audit FROM every, ext WHERE goes = 0
+  UNION ALL
+  SELECT conv_id, pos, st, cost, audit FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) AS rn FROM (
+    SELECT v.conv_id, r.pos, e.st, v.cost + o.price + e.price + CASE WHEN r.truncated AND o.op <> 'D' THEN 3 ELSE 0 END AS cost, v.audit || o.op || e.ins AS audit
+    FROM v JOIN faulty r ON r.conv_id = v.conv_id AND r.pos = v.pos + 1
+    JOIN ops o ON o.st = v.st AND (o.op = 'D' OR NOT (r.blank OR r.duplicate)) AND (o.initial IS NULL OR o.initial = left(r.role, 1))
+    JOIN ext e ON e.goes = o.goes)) WHERE rn = 1),
+best AS (SELECT every.conv_id, v.cost, v.audit FROM every LEFT JOIN counts USING (conv_id) JOIN v ON v.conv_id = every.conv_id AND v.pos = coalesce(counts.n, 0) AND v.st IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY every.conv_id ORDER BY v.cost, v.audit) = 1),
+steps AS (SELECT conv_id, j, audit[j] AS op, j - length(replace(left(audit, j::BIGINT), 'I', '')) AS inserted, length(replace(left(audit, j::BIGINT), 'D', '')) AS turn_no,
+  length(replace(audit, 'D', '')) AS turns FROM best, range(1, 4000) g(j) WHERE j <= length(audit)),
+lines AS (SELECT s.conv_id, s.j, CASE WHEN s.op = 'K' THEN r.role WHEN (s.turn_no + s.turns) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN s.op = 'I' THEN '' ELSE r.text END AS line
+  FROM steps s LEFT JOIN faulty r ON r.conv_id = s.conv_id AND r.pos = s.j - s.inserted WHERE s.op <> 'D'),
+done AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS body FROM lines GROUP BY conv_id)
+SELECT b.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated,
+       coalesce(c.illegal, 0)::BIGINT AS illegal, b.cost::BIGINT AS cost, b.audit, sha256(coalesce(d.body, '')) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id = b.conv_id LEFT JOIN done d ON d.conv_id = b.conv_id"""
