@@ -9,13 +9,22 @@ the benchmark items. (A shorter item is one window of its own length.) Item wind
 prove nothing by their placeholders; where an item has such windows, windows of its plain lower-case tokens take their
 place, so that word-for-word copies of every item are found.
 
+Few texts hold anything of a benchmark, so most are put aside before their windows are built. Two ordinary words that are
+neighbours in an item's window are neighbours among the words of every text that holds the window: these pairs are looked for
+in all texts by a hash join (words are cut by one regular expression and paired by a shifted copy; no lambda runs per word). The
+window's rarest pair is its anchor, and a text is a candidate if it holds an anchor and all other pairs of one of its windows.
+No hit is lost: a hit holds at least one whole window. Windows without such a pair (of numbers, names or single words between
+them) are sought in all texts, but only for items that those windows alone could report. Candidates are staged, each text once,
+and everything below reads only them.
+
 Positions are those of the tokens, whatever form a window has. Windows that match in a row lie on one diagonal (position in
 the text minus position in the item); a word put in or left out moves the rest to another one. A candidate is a diagonal, or
 a chain of diagonals of one document and item whose neighbours are at most half the item's length (or WINDOW) apart. It is a
 hit if its distinct item windows are COVERAGE of the item's template windows, or of all its windows. Then the slots inside
-matched windows are compared: each value of the item must stand for one value in the text throughout, so that "12 ... 12" may
-become "7 ... 7" but not "7 ... 9"; two values of the item may become one. With equal values the passage is verbatim,
-with consistent others re-parameterised. Words that open sentences are not held to that.
+matched windows are compared: where each value of the item stands for one value in the text throughout - "12 ... 12" may become
+"7 ... 7", and two values of the item may become one - the copy is consistent; with "7 ... 9" it is reported as well, with
+consistent = false. Words that open sentences are not held to that. A copy is verbatim if all tokens of the item stand in the text
+in a row, letter for letter.
 
 The benchmark side is broadcast while it has at most MOST_BROADCAST windows, and joined by a shuffle beyond that. Slots are
 read only from documents with a hit. Documents and items are keyed by the MD5 of their text, and window rows hold keys and
@@ -142,14 +151,25 @@ def _windows(templates: DataFrame, forms: list[str], lengths: list[int]) -> Data
     return exploded.select("id", "w.at", "w.form", "w.size", "w.h")
 
 
+def _pairs(cut: Column) -> Column:
+    """Neighbours "w1 w2" among an array of tokens that both begin with a letter: the last run of letters of the first and the first
+    run of the second. Letters whose small form depends on their place in a word make no pair."""
+    def pair(t, i):
+        after = F.get(cut, i + 1)
+        joined = F.concat(F.regexp_extract(t, r"\p{L}+$", 0), F.lit(" "), F.regexp_extract(after, r"^\p{L}+", 0))
+        return F.when(t.rlike(r"^\p{L}") & after.rlike(r"^\p{L}") & ~F.concat(t, after).rlike(r"[σςΣİ\p{M}]"), joined)
+
+    return F.array_distinct(F.filter(F.transform(cut, pair), lambda x: x.isNotNull()))
+
+
 def _item_windows(listed: DataFrame, form: str, window: int) -> DataFrame:
-    """(id, at, form, size, h, ordinary) of the items' windows: window tokens, or all of a shorter item. ``form`` word or plain; name as word, all its windows."""
+    """(id, at, form, size, h, pairs, ordinary) of the items' windows: window tokens, or all of a shorter item. ``form`` word or plain; name as word, all its windows."""
     canon = F.col(f"canon_{form}")
     n = F.least(F.size(canon), F.lit(window))
     each = listed.where(F.size(canon) > 0).select("id", canon.alias("canon"), f"places_{form}", n.alias("size"), F.explode(F.sequence(F.lit(1), F.size(canon) - n + 1)).alias("i"))
     cut = F.slice("canon", F.col("i"), F.col("size"))
     ordinary = F.size(F.filter(cut, lambda t: ~t.isin("<num>", "<unit>", "<name>")))
-    return each.select("id", F.get(f"places_{form}", F.col("i") - 1).alias("at"), F.lit(form).alias("form"), "size", F.xxhash64(cut).alias("h"), ordinary.alias("ordinary"))
+    return each.select("id", F.get(f"places_{form}", F.col("i") - 1).alias("at"), F.lit(form).alias("form"), "size", F.xxhash64(cut).alias("h"), _pairs(cut).alias("pairs"), ordinary.alias("ordinary"))
 
 
 def _slots(rows: DataFrame) -> DataFrame:
@@ -177,35 +197,72 @@ def _keyed(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.select(F.md5(text).alias("id"), text.alias("text"))
 
 
-def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, literals: int, coverage: float) -> DataFrame:
-    """(id, item, n, share, same), digests of texts for ids, for every document and item it contains; the best candidate counts."""
-    texts = _keyed(docs, text_col)
-    questions = stage(_keyed(items, text_col).where(F.col("text").isNotNull()).dropDuplicates(["id"]), "items")
-    # staged, as Spark would evaluate the nested expressions anew for each window
-    listed = stage(_templates(questions).join(_literals(questions), "id"), "templates")
-    words, names = _item_windows(listed, "word", window), _item_windows(listed.where(F.size("opens") > 0), "name", window)
-    own = words.unionByName(names).where(F.col("ordinary") >= F.least(F.lit(literals), F.col("size"))).drop("ordinary").distinct()
-    plain = _item_windows(listed, "plain", window).drop("ordinary").join(own.select("id", "at").distinct(), ["id", "at"], "left_anti")
-    own = stage(own.unionByName(plain).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "form", "size", "h"), "windows")
-    sizes = {(r.form == "plain", r["size"]) for r in own.select("form", "size").distinct().collect()}
+def _matches(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, item, at, item_at, form, item_form, size): windows of texts (id, text) that are windows of items."""
     template = F.col("form") != "plain"
-    totals = own.groupBy("item").agg(F.countDistinct("item_at").alias("total"), F.countDistinct(F.when(template, F.col("item_at"))).alias("templates"),
-                                     F.max(F.col("item_at") + F.col("size")).alias("long"))
-    totals = maybe_broadcast(totals, MOST_BROADCAST)
-
+    sizes = {(r.form == "plain", r["size"]) for r in own.select("form", "size").distinct().collect()}  # a line for each length below WINDOW
     streams = []
     for literal in (False, True):
         lengths = sorted(n for k, n in sizes if k == literal)
         if lengths:
             given = _literals(texts) if literal else _templates(texts)
-            mine = own.where(~template if literal else template)
             # a window without a sentence opener is the same in both forms: it is sought as a word
-            mine = mine.withColumnRenamed("form", "item_form")
+            mine = own.where(~template if literal else template).withColumnRenamed("form", "item_form").drop("pairs")
             streams.append(_windows(given, ["plain"] if literal else ["word", "name"], lengths).join(maybe_broadcast(mine, MOST_BROADCAST), ["h", "size"]))
+    columns = ["id", "item", "at", "item_at", "form", "item_form", "size"]
     if not streams:
-        return texts.select("id", F.col("id").alias("item"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("share"), F.lit(True).alias("same")).limit(0)
-    matched = streams[0] if len(streams) == 1 else streams[0].unionByName(streams[1])
-    matched = matched.select("id", "item", "at", "item_at", "form", "item_form", "size").distinct().withColumn("shift", F.col("at") - F.col("item_at"))
+        return texts.sparkSession.createDataFrame([], "id string, item string, at int, item_at int, form string, item_form string, size int")
+    return streams[0].select(*columns) if len(streams) == 1 else streams[0].select(*columns).unionByName(streams[1].select(*columns))
+
+
+def _word_pairs(texts: DataFrame) -> DataFrame:
+    """texts (id, text) -> (id, pair): every two neighbouring runs of letters, in lower case."""
+    letters = F.trim(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")))
+    words = texts.select("id", F.split(letters, " ").alias("a"))
+    shifted = words.select("id", F.slice("a", 1, F.size("a") - 1).alias("a"), F.slice("a", 2, F.size("a")).alias("b"))
+    each = shifted.where(F.size("b") > 0).select("id", F.inline(F.arrays_zip("a", "b")))
+    return each.select("id", F.concat("a", F.lit(" "), "b").alias("pair"))
+
+
+def _candidates(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """texts (id, text), own (item, item_at, form, size, h, pairs) -> (id): texts that hold all pairs of some window."""
+    numbered = own.select("pairs").where(F.size("pairs") > 0).distinct()
+    sought = maybe_broadcast(numbered.select(F.explode("pairs").alias("pair")).distinct(), MOST_BROADCAST)
+    found = stage(_word_pairs(texts).join(sought, "pair").distinct(), "pairs")
+    rarity = found.groupBy("pair").agg(F.count("*").alias("texts"))
+    # a window with a pair that no text has is nowhere: an inner join on all of its pairs would lose it anyway
+    each = numbered.withColumn("pair", F.explode("pairs")).join(rarity, "pair", "left")
+    anchored = each.groupBy("pairs").agg(F.min_by("pair", F.struct(F.coalesce("texts", F.lit(0)), "pair")).alias("pair"), F.min(F.coalesce("texts", F.lit(0))).alias("least"))
+    anchors = maybe_broadcast(anchored.where("least > 0").select("pair", "pairs"), MOST_BROADCAST)
+    likely = found.join(anchors, "pair").select("id", "pairs")
+    of_text = found.groupBy("id").agg(F.collect_set("pair").alias("held"))
+    return likely.join(of_text, "id").where(F.size(F.array_except("pairs", "held")) == 0).select("id").distinct()
+
+
+def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, literals: int, coverage: float) -> DataFrame:
+    """(id, item, n, share, verbatim, consistent), digests of texts for ids, for every document and item it contains; the best candidate counts."""
+    every = _keyed(docs, text_col)
+    questions = stage(_keyed(items, text_col).where(F.col("text").isNotNull()).dropDuplicates(["id"]), "items")
+    # staged, as Spark would evaluate the nested expressions anew for each window
+    listed = stage(_templates(questions).join(_literals(questions), "id"), "templates")
+    words, names = _item_windows(listed, "word", window), _item_windows(listed.where(F.size("opens") > 0), "name", window)
+    own = words.unionByName(names).where(F.col("ordinary") >= F.least(F.lit(literals), F.col("size"))).drop("ordinary").distinct()
+    plain = _item_windows(listed, "plain", window).drop("ordinary").join(own.select("id", "at").distinct(), ["id", "at"], "left_anti")
+    own = stage(own.unionByName(plain).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "form", "size", "h", "pairs"), "windows")
+    template = F.col("form") != "plain"
+    loose = F.size("pairs") == 0
+    count = lambda c: F.countDistinct(F.when(c, F.col("item_at")))
+    totals = own.groupBy("item").agg(F.countDistinct("item_at").alias("total"), count(template).alias("templates"), F.max(F.col("item_at") + F.col("size")).alias("long"),
+                                     count(loose).alias("loose"), count(loose & template).alias("loose_templates"))
+    by_loose = totals.where((F.col("loose") / F.col("total") >= coverage) | (F.col("templates") > 0) & (F.col("loose_templates") / F.col("templates") >= coverage))
+    totals = maybe_broadcast(totals.select("item", "total", "templates", "long"), MOST_BROADCAST)
+    held = _candidates(every, own)
+    sought = stage(own.where(loose).join(by_loose.select("item"), "item", "left_semi"), "loose-windows")
+    if sought.limit(1).count():
+        held = held.union(_matches(every, sought).select("id")).distinct()
+    chosen = maybe_broadcast(stage(held, "candidates"), MOST_BROADCAST)
+    texts = stage(every.join(chosen, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+    matched = _matches(texts, own).distinct().withColumn("shift", F.col("at") - F.col("item_at"))
     pair = Window.partitionBy("id", "item").orderBy("shift")
     apart = F.col("shift") - F.lag("shift").over(pair) > F.greatest(F.lit(window), F.col("long") / 2)
     chained = matched.join(totals, "item").withColumn("apart", apart.cast("int"))
@@ -241,26 +298,35 @@ def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, li
         return F.zip_with(part(asked, c["item_at"]), part(said, c["at"]), lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), b["value"].alias("said"), (a["opens"] | b["opens"]).alias("opens")))
 
     # plain windows are equal as they are
-    every = F.flatten(F.transform(F.filter("cells", lambda c: c["form"] != "plain"), filled))
-    pairs = pairs.withColumn("filled", F.array_distinct(F.filter(every, lambda x: x["kind"].isin("<num>", "<unit>", "<name>"))))
+    all_filled = F.flatten(F.transform(F.filter("cells", lambda c: c["form"] != "plain"), filled))
+    pairs = pairs.withColumn("filled", F.array_distinct(F.filter(all_filled, lambda x: x["kind"].isin("<num>", "<unit>", "<name>"))))
     held = F.array_distinct(F.transform(F.filter("filled", lambda x: ~x["opens"]), lambda x: F.struct(x["kind"], x["asked"], x["said"])))
     pairs = pairs.withColumn("held", held)
     consistent = F.size(F.array_distinct(F.transform("held", lambda x: F.struct(x["kind"], x["asked"])))) == F.size("held")
-    same = ~F.exists("filled", lambda x: ~x["asked"].eqNullSafe(x["said"]))
-    judged = pairs.where(consistent).select("id", "item", "n", "share", same.alias("same"))
-    best = judged.groupBy("id", "item").agg(F.max(F.struct("n", "same", "share")).alias("b"))
-    return stage(best.select("id", "item", F.col("b.n").cast("bigint").alias("n"), F.col("b.share").alias("share"), F.col("b.same").alias("same")), "decisions")
+    judged = pairs.select("id", "item", "n", "share", consistent.alias("consistent"))
+    best = judged.groupBy("id", "item").agg(F.max(F.struct("consistent", "n", "share")).alias("b"))
+    whole = best.select("id", "item", F.col("b.n").cast("bigint").alias("n"), F.col("b.share").alias("share"), F.col("b.consistent").alias("consistent"))
+    said = _running(texts).select("id", F.col("running").alias("said"))
+    asked = _running(questions).select(F.col("id").alias("item"), F.col("running").alias("asked"))
+    both = whole.join(said, "id").join(asked, "item")
+    return stage(both.select("id", "item", "n", "share", F.contains("said", "asked").alias("verbatim"), "consistent"), "decisions")
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """(id, running): the tokens as they are, between spaces, without sentence ends."""
+    return rows.select("id", F.concat(F.lit(" "), F.array_join(F.filter(tokens(F.col("text")), lambda t: ~t.isin(ENDS)), " "), F.lit(" ")).alias("running"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
                  window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_col, item_col, n_windows, coverage, verbatim) for every document and item it contains; the best candidate counts."""
+    """(doc_col, item_col, n_windows, coverage, verbatim, consistent) for every document and item it contains; the best candidate counts."""
     decided = _decisions(docs, items, text_col, window, literals, coverage)
     asked = items.select(F.md5(F.col(text_col).cast("string")).alias("item"), F.col(item_col).alias("_item"))
     named = maybe_broadcast(decided.join(asked, "item"), MOST_BROADCAST)
     ids = docs.select(F.md5(F.col(text_col).cast("string")).alias("id"), F.col(doc_col).alias("_doc"))
-    best = ids.join(named, "id").groupBy("_doc", "_item").agg(F.max(F.struct("n", "same", "share")).alias("b"))
-    return best.select(F.col("_doc").alias(doc_col), F.col("_item").alias(item_col), F.col("b.n").alias("n_windows"), F.col("b.share").alias("coverage"), F.col("b.same").alias("verbatim"))
+    best = ids.join(named, "id").groupBy("_doc", "_item").agg(F.max(F.struct("verbatim", "consistent", "n", "share")).alias("b"))
+    return best.select(F.col("_doc").alias(doc_col), F.col("_item").alias(item_col), F.col("b.n").alias("n_windows"), F.col("b.share").alias("coverage"),
+                       F.col("b.verbatim").alias("verbatim"), F.col("b.consistent").alias("consistent"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
