@@ -11,11 +11,11 @@ place, so that word-for-word copies of every item are found.
 
 Few texts hold anything of a benchmark, so most are put aside before their windows are built. Two ordinary words that are
 neighbours in an item's window are neighbours among the words of every text that holds the window: these pairs are looked for
-in all texts by a hash join (words are cut by one regular expression and paired by a shifted copy; no lambda runs per word). The
-window's rarest pair is its anchor, and a text is a candidate if it holds an anchor and all other pairs of one of its windows.
-No hit is lost: a hit holds at least one whole window. Windows without such a pair (of numbers, names or single words between
-them) are sought in all texts, but only for items that those windows alone could report. Candidates are staged, each text once,
-and everything below reads only them.
+in all texts by a hash join (words are cut by one regular expression and paired by a shifted copy): first the rarest pair of
+each window alone (rare in a few texts, which decides nothing else), then, in texts that hold one of these, all pairs. A text is a candidate if it holds all pairs of as many
+windows of an item as a hit needs. No hit is lost: it holds these windows whole. Windows without such a pair (of numbers, names or
+single words between them) count as held, and are sought in all texts for items that they alone could report. Candidates are
+staged, each text once, and everything below reads only them.
 
 Positions are those of the tokens, whatever form a window has. Windows that match in a row lie on one diagonal (position in
 the text minus position in the item); a word put in or left out moves the rest to another one. A candidate is a diagonal, or
@@ -48,6 +48,10 @@ WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
 MOST_BROADCAST = 500_000
+#: Texts that tell common pairs from rare ones; that decides which pair is sought first, and nothing else.
+SAMPLE = 2000
+#: First words of sought pairs that a plan may list.
+MOST_FIRST = 20_000
 
 # --- fixed values: unit signs and words -----------------------------------------------------------------
 SIGNS = "% $ € £ ¥ °".split()
@@ -215,28 +219,50 @@ def _matches(texts: DataFrame, own: DataFrame) -> DataFrame:
     return streams[0].select(*columns) if len(streams) == 1 else streams[0].select(*columns).unionByName(streams[1].select(*columns))
 
 
-def _word_pairs(texts: DataFrame) -> DataFrame:
-    """texts (id, text) -> (id, pair): every two neighbouring runs of letters, in lower case."""
-    letters = F.trim(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")))
-    words = texts.select("id", F.split(letters, " ").alias("a"))
-    shifted = words.select("id", F.slice("a", 1, F.size("a") - 1).alias("a"), F.slice("a", 2, F.size("a")).alias("b"))
-    each = shifted.where(F.size("b") > 0).select("id", F.inline(F.arrays_zip("a", "b")))
-    return each.select("id", F.concat("a", F.lit(" "), "b").alias("pair"))
-
-
-def _candidates(texts: DataFrame, own: DataFrame) -> DataFrame:
-    """texts (id, text), own (item, item_at, form, size, h, pairs) -> (id): texts that hold all pairs of some window."""
-    numbered = own.select("pairs").where(F.size("pairs") > 0).distinct()
-    sought = maybe_broadcast(numbered.select(F.explode("pairs").alias("pair")).distinct(), MOST_BROADCAST)
-    found = stage(_word_pairs(texts).join(sought, "pair").distinct(), "pairs")
+def _neighbour_words(texts: DataFrame) -> DataFrame:
+    """texts (id, text) -> (id, near): an array of all (a, b), neighbouring runs of letters, in lower case."""
+    letters = F.trim(F.lower(F.regexp_replace("text", r"[^\p{L}]++", " ")))
+    words = texts.select("id", F.split(letters, " ").alias("a")).where(F.size("a") > 1)
+    return words.select("id", F.arrays_zip(F.slice("a", 1, F.size("a") - 1).alias("a"), F.slice("a", 2, F.size("a")).alias("b")).alias("near"))
+
+
+def _word_pairs(texts: DataFrame, sought: DataFrame) -> DataFrame:
+    """texts (id, text) -> (id, pair): the pairs "a b" of ``sought`` that stand in each text."""
+    first = sought.select(F.substring_index("pair", " ", 1).alias("w")).distinct().limit(MOST_FIRST + 1).collect()
+    near = _neighbour_words(texts)
+    if len(first) <= MOST_FIRST:  # cheaper than a row for each pair of the text; the join alone decides
+        near = near.select("id", F.filter("near", lambda z: z["a"].isin([r.w for r in first])).alias("near"))
+    each = near.select("id", F.inline("near")).toDF("id", "a", "b")
+    return each.select("id", F.concat("a", F.lit(" "), "b").alias("pair")).join(maybe_broadcast(sought, MOST_BROADCAST), "pair").distinct()
+
+
+def _candidates(texts: DataFrame, own: DataFrame, coverage: float) -> DataFrame:
+    """texts (id, text), own (item, item_at, form, size, h, pairs) -> (id): texts that hold all pairs of so many windows of an item
+    that they could be a hit, one window at least with pairs of its own."""
+    paired = own.where(F.size("pairs") > 0)
+    # every window has an anchor, its rarest pair as far as a few texts tell; texts without any are done
+    sought = stage(paired.select(F.explode("pairs").alias("pair")).distinct(), "sought")
+    common = _word_pairs(texts.limit(SAMPLE), sought).groupBy("pair").agg(F.count("*").alias("texts"))
+    known = paired.select("pairs").distinct().withColumn("pair", F.explode("pairs")).join(maybe_broadcast(stage(common, "common"), MOST_BROADCAST), "pair", "left")
+    anchors = known.groupBy("pairs").agg(F.min_by("pair", F.struct(F.coalesce("texts", F.lit(0)), -F.length("pair"), "pair")).alias("pair"))
+    anchors = stage(anchors.select("pair").distinct(), "anchors")
+    anchored = _word_pairs(texts, anchors).select("id").distinct()
+    some = texts.join(maybe_broadcast(stage(anchored, "anchored"), MOST_BROADCAST), "id", "left_semi").dropDuplicates(["id"])
+    found = stage(_word_pairs(some, sought), "pairs")
     rarity = found.groupBy("pair").agg(F.count("*").alias("texts"))
-    # a window with a pair that no text has is nowhere: an inner join on all of its pairs would lose it anyway
-    each = numbered.withColumn("pair", F.explode("pairs")).join(rarity, "pair", "left")
-    anchored = each.groupBy("pairs").agg(F.min_by("pair", F.struct(F.coalesce("texts", F.lit(0)), "pair")).alias("pair"), F.min(F.coalesce("texts", F.lit(0))).alias("least"))
-    anchors = maybe_broadcast(anchored.where("least > 0").select("pair", "pairs"), MOST_BROADCAST)
-    likely = found.join(anchors, "pair").select("id", "pairs")
-    of_text = found.groupBy("id").agg(F.collect_set("pair").alias("held"))
-    return likely.join(of_text, "id").where(F.size(F.array_except("pairs", "held")) == 0).select("id").distinct()
+    windows = paired.select("item", "pairs").distinct()
+    # a window with a pair that no text has is nowhere
+    each = windows.withColumn("pair", F.explode("pairs")).join(rarity, "pair", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    rarest = each.groupBy("item", "pairs").agg(F.min_by("pair", F.struct("texts", "pair")).alias("pair"), F.min("texts").alias("least")).where("least > 0")
+    of_text = stage(found.groupBy("id").agg(F.collect_set("pair").alias("held")), "held-pairs")
+    likely = found.join(maybe_broadcast(rarest.select("pair", "pairs", "item"), MOST_BROADCAST), "pair").join(of_text, "id")
+    likely = likely.where(F.size(F.array_except("pairs", "held")) == 0).select("id", "item").distinct()
+    template = F.col("form") != "plain"
+    held = F.size(F.array_except("pairs", "held")) == 0  # so is a window without pairs
+    count = lambda c: F.countDistinct(F.when(c, F.col("item_at")))
+    shares = likely.join(of_text, "id").join(own.select("item", "item_at", "form", "pairs"), "item").groupBy("id", "item").agg(
+        (count(held) / F.countDistinct("item_at")).alias("of_all"), F.try_divide(count(held & template).cast("double"), count(template).cast("double")).alias("of_templates"))
+    return shares.where(F.greatest("of_all", "of_templates") >= coverage).select("id").distinct()
 
 
 def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, literals: int, coverage: float) -> DataFrame:
@@ -256,7 +282,7 @@ def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, li
                                      count(loose).alias("loose"), count(loose & template).alias("loose_templates"))
     by_loose = totals.where((F.col("loose") / F.col("total") >= coverage) | (F.col("templates") > 0) & (F.col("loose_templates") / F.col("templates") >= coverage))
     totals = maybe_broadcast(totals.select("item", "total", "templates", "long"), MOST_BROADCAST)
-    held = _candidates(every, own)
+    held = _candidates(every, own, coverage)
     sought = stage(own.where(loose).join(by_loose.select("item"), "item", "left_semi"), "loose-windows")
     if sought.limit(1).count():
         held = held.union(_matches(every, sought).select("id")).distinct()

@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from newslens.llm import decontaminate, maxent_lm, merkle, ngram_trie, queries, sharding, url_cascade
 from newslens.plans.harness import compare, duck
 
@@ -368,9 +370,13 @@ def test_decontamination_loses_no_text_before_the_windows(spark):
         some = decontaminate._item_windows(rows, form, 8).withColumnRenamed("id", "item").withColumnRenamed("at", "item_at")
         own = some if own is None else own.unionByName(some)
     own = own.drop("ordinary").where("size(pairs) > 0").cache()
-    held = {x.id for x in decontaminate._candidates(texts, own).collect()}
+    held = {x.id for x in decontaminate._candidates(texts, own, 0.0).collect()}
     hit = {x.id for x in decontaminate._matches(texts, own).select("id").distinct().collect()}
     assert hit and hit <= held
+    half = {x.id for x in decontaminate._candidates(texts, own, 0.5).collect()}
+    matched = decontaminate._matches(texts, own).groupBy("id", "item").agg(F.countDistinct("item_at").alias("n"))
+    total = own.groupBy("item").agg(F.countDistinct("item_at").alias("total"))
+    assert {x.id for x in matched.join(total, "item").where("n >= 0.5 * total").collect()} <= half
 
 
 def test_decontamination_windows_equal_plain_python(spark):
@@ -400,3 +406,18 @@ def test_decontamination_windows_equal_plain_python(spark):
             if len(found) >= 0.5 * len(asked):
                 wanted[i, j] = (f" {q} " in f" {t} ", len(found) / len(asked))
     assert len(wanted) > 10 and leaks(spark, docs, items)[2] == wanted
+
+
+def test_near_copies_without_id_are_linked_and_one_row_stays(spark):
+    r = random.Random(41)
+    w = words(r, 80)
+    near = [*w[:40], "other", *w[41:]]
+    rows = [(None, " ".join(w), 1), (None, " ".join(near), 2), (None, "quite another text of some more words than five", 3), (None, " ".join(w), 4), (30, "copy of nothing at all here", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, gone int")
+    found = ngram_trie.jaccard_classes(df).collect()
+    assert len(found) == 5 and {x.component_id for x in found if x.doc_id is None} == {None}
+    kept = ngram_trie.one_of_each_class(df).collect()
+    assert sorted(x.gone for x in kept if x.gone in (3, 5)) == [3, 5] and len([x for x in kept if x.gone in (1, 2, 4)]) == 1
+    both = spark.createDataFrame([*rows, (9, " ".join(near), 6), (100, " ".join(w), 7)], df.schema)
+    assert {(x.doc_id, x.component_id) for x in ngram_trie.jaccard_classes(both).collect()} == {(None, 9), (9, 9), (100, 9), (None, None), (30, 30)}
+    assert {x.gone for x in ngram_trie.one_of_each_class(both).collect()} == {3, 5, 6}
