@@ -3,7 +3,9 @@
 The standard library's streaming parser sends events; block-level tags cut the text into lines. Each line knows its length,
 how many tags stood in it, how much of it is link text, the elements around it, and whether one of them is boilerplate by
 its kind (nav, footer, form, script ...), role, or a word of its class or id (see the fixed lists). Such a word doesn't count
-on an element that holds most of the page's text, if no article or main element stands outside it, nor if nothing were left.
+on an element that holds most of the page's text, if no article or main element stands outside it, nor if nothing were left;
+inside an article or main element it only lowers the ratio to WORDED of what it is, and text that reaches the threshold even so
+stays, with its headings.
 Boilerplate lines have ratio 0. The ratios, in page order, are smoothed by a Gaussian; lines at or above the standard deviation of the smoothed
 ratios form clusters, and the clusters' text votes for the element that holds the content: the article or main element
 around most of it, with the article elements beside it whose mean smoothed ratio reaches the threshold, else the innermost element that holds nearly all of it. All other lines of that element which aren't
@@ -33,6 +35,8 @@ RADIUS = 3
 #: Share of the clusters' text that the content element must hold.
 HOLDS = 0.9
 LINK_SHARE = 0.6
+#: What a word of class or id leaves of the ratio of lines inside an article or main element.
+WORDED = 0.5
 
 # --- fixed values: kinds of elements and words that name boilerplate --------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,6 +201,27 @@ def judged(parser: Lines) -> list[tuple[str, int, int, str, bool]]:
     return [(*line[:4], line[4] or m) for line, m in zip(lines, marked)]
 
 
+def _deviation(values: list[float]) -> float:
+    mean = sum(values) / len(values)
+    return math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+
+
+def unmarked(parser: Lines, lines: list[tuple[str, int, int, str, bool]], threshold: float) -> tuple[list[tuple[str, int, int, str, bool]], bool]:
+    """The lines, without the marks of elements inside an article or main element that only a word marks and whose lowered mean
+    ratio reaches the threshold; and whether there are such."""
+    contents = [(a, b) for kind, a, b in parser.spans if kind in ("article", "main")]
+    free = set()
+    for number in parser.worded:
+        _, a, b = parser.spans[number]
+        own = [k for k in range(a, b) if not parser.lines[k][4]]  # not skipped for another reason
+        if not own or not any(c <= a and b <= d for c, d in contents):
+            continue
+        chars, linked = sum(len(lines[k][0]) for k in own), sum(lines[k][2] for k in own)
+        if linked <= LINK_SHARE * chars and WORDED * chars / max(1, sum(lines[k][1] for k in own)) >= threshold:
+            free.update(k for k in own if lines[k][4])
+    return ([(*line[:4], line[4] and k not in free) for k, line in enumerate(lines)], True) if free else (lines, False)
+
+
 def main_text(html: str) -> str:
     """The blocks of the page's content, joined by two line feeds."""
     parser = Lines()
@@ -209,8 +234,12 @@ def main_text(html: str) -> str:
     if not any(ratio):
         return ""
     smooth = smoothed(ratio)
-    mean = sum(smooth) / len(smooth)
-    threshold = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
+    threshold = _deviation(smooth)
+    lines, changed = unmarked(parser, lines, threshold)
+    if changed:
+        ratio = [0.0 if skipped else len(text) / max(1, tags) for text, tags, _, _, skipped in lines]
+        smooth = smoothed(ratio)
+        threshold = _deviation(smooth)
     inside = [r > 0 and s >= threshold for r, s in zip(ratio, smooth)]
     if not any(inside):
         inside = [r > 0 for r in ratio]

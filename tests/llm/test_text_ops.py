@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,15 @@ def test_html_article_in_two_elements():
     assert html_text.main_text(page) == f"{one.strip()}\n\n{two.strip()}"
 
 
+@pytest.mark.parametrize("opens, closes", [('<section id="privacy"><h2>Privacy in the archive</h2>', "</section>"), ('<section class="social-history"><h2>Social history</h2>', "</section>"),
+                                           ('<div class="related-story">', "</div>")])
+def test_html_words_inside_an_article_do_not_drop_its_text(opens, closes):
+    said = "This is a long paragraph of the article which says quite a lot about the matter at hand, and it goes on for a while."
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{said}</p>{opens}<p>{said} Here.</p>{closes}<p>{said}</p><div class='advert'><p>Buy now!</p></div></article></body>"
+    heading = re.findall("<h2>(.*)</h2>", opens)
+    assert html_text.main_text(page).split("\n\n") == ["Title", said, *heading, f"{said} Here.", said]
+
+
 def test_html_cases(spark):
     pages = [None, "", "<html><body></body></html>", "plain", "<div>" * 30000 + "deep", "<nav><a href=x>menu<article><p>Unclosed menu before the text.</p></article>"]
     df = spark.createDataFrame([(i, None, h) for i, h in enumerate(pages)], "page_id bigint, url string, html string")
