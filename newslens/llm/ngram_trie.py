@@ -20,8 +20,8 @@ shingle among the first n - ceil(t n) + 1 of each set, and its sizes differ by t
 5. Components of the links name the classes.
 
 Cases: null and empty texts, and those without words, have an empty set and are linked with nothing; repeated rows are in
-one class; a null id never names a class, and a text that only rows without id hold is linked with nothing; an empty
-table gives no rows.
+one class; a null id never names a class, so a class of rows without id has a null name; rows without an id are told apart by
+their text; an empty table gives no rows. Other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslens.llm.bytewords import hash_words, mix
@@ -406,11 +406,6 @@ def linked(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[int]:
     """For each of the distinct sets, the smallest index in its class of links within the list."""
     parent = list(range(len(sets)))
     plus = 100 + threshold
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if plus * both >= threshold * (len(sets[0]) + len(sets[1])):
-            parent[1] = 0
-        return parent
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
@@ -500,13 +495,23 @@ def _packed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 BROADCAST_ROWS = 250_000
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
-    """(id_col, n_shingles bigint, component_id): every row of ``docs`` with its set's size and the smallest id reachable
-    by links. See the module's head for the method and the cases."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A string for each row: its id, or the digest of its text if it has none. Keys of ids come first in order."""
+    by_text = F.concat(F.lit("t"), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    return F.coalesce(F.concat(F.lit("i"), docs[id_col].cast("string")), by_text)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int, unit_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (key, n, digest), classes (digest, name, head)): every row's key, set size and digest; every set's class by its
+    smallest id (null if there is none) and its first key."""
+    texts = docs.select(_row_key(docs, id_col, text_col).alias("id"), docs[text_col].cast("string").alias("text"))
     rows = stage(shingle_sets(texts, words, threshold), "sets")
+    if not rows.where(F.col("id").startswith("t")).isEmpty():
+        # copies without an id share a key: one of them stands for all below
+        by_text = F.col("id").startswith("t")
+        texts = texts.where(~by_text).unionByName(texts.where(by_text).dropDuplicates(["id"]))
     vertices = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max("open").alias("open"))
-    opened = stage(vertices.where("open and id is not null").select("id", F.col("digest").alias("name"), "n"), "open")
+    opened = stage(vertices.where("open").select("id", F.col("digest").alias("name"), "n"), "open")
     buckets = 1 + (opened.agg(F.sum("n")).first()[0] or 0) * (100 - threshold) // 100 // 500_000
     asked = texts.join(maybe_broadcast(opened.select("id", "name"), BROADCAST_ROWS), "id").select("text", "name")
     lists = stage(_prefix_lists(asked, words, threshold, buckets), "prefixes")
@@ -533,23 +538,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the class of each vertex that has links, then the smallest id of each class; staged, so that the last join is one of
     # two plain shuffles, whose large partitions (a digest with many copies) Spark splits
-    vertices = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"))
+    kind = docs.schema[id_col].dataType
+    own = F.when(F.col("id").startswith("i"), F.substring("id", 2, 1 << 30).cast(kind))
+    first = F.struct(F.col("id").startswith("t").alias("none"), own.alias("own"), F.col("id").alias("key"))  # by id, not by its digits
+    vertices = rows.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first"))
     named = vertices.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_digest = stage(named.select("digest", "root").join(lowest, "root").select("digest", "component_id"), "classes")
-    out = rows.join(of_digest, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("first"))
+    of_digest = named.select("digest", "root").join(lowest, "root").select("digest", F.col("first.own").alias("name"), F.col("first.key").alias("head"))
+    return rows.select(F.col("id").alias("key"), own.alias("own"), "n", "digest"), stage(of_digest, "classes")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
+    """(id_col, n_shingles bigint, component_id): every row of ``docs`` with its set's size and the smallest id reachable
+    by links. See the module's head for the method and the cases."""
+    rows, classes = _classes(docs, id_col, text_col, words, threshold, unit_shingles)
+    out = rows.join(classes, "digest", "left")
+    return out.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "own").alias("component_id"))
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, less those whose class holds a smaller id. Rows that share an id stay or go
-    together; rows equal in id and text are reduced to one."""
-    classes = jaccard_classes(docs, id_col, text_col)
-    classes = stage(classes.select(F.col(id_col).alias("id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("first")), "heads")
-    by_id = classes.groupBy("id").agg(F.max("first").alias("first"), F.count("*").alias("n"))
-    gone = by_id.where(~F.col("first")).select(F.col("id").alias("_gone"))
-    kept = docs.join(maybe_broadcast(gone, BROADCAST_ROWS), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    return kept if by_id.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
+    together; rows equal in id and text are reduced to one; of rows without an id, those with the first text of a class stay."""
+    rows, classes = _classes(docs, id_col, text_col, WORDS, THRESHOLD, UNIT_SHINGLES)
+    heads = stage(rows.join(classes, "digest", "left").select("key", (F.col("key") == F.coalesce("head", "key")).alias("first")), "heads")
+    by_key = heads.groupBy("key").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = by_key.where(~F.col("first")).select(F.col("key").alias(name))
+    kept = docs.join(maybe_broadcast(gone, BROADCAST_ROWS), _row_key(docs, id_col, text_col) == F.col(name), "left_anti")
+    return kept if by_key.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
 
 
 def _first_long(digest_col: str):
