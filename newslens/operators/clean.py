@@ -68,9 +68,14 @@ def build_text(df: DataFrame, headline: str = "headline", body: str = "body") ->
                                                    F.coalesce(F.col(body), F.lit("")))))
 
 
+def parse_timestamps(col: str, formats=DATE_FORMATS) -> F.Column:
+    """D8 with the time of day: first format that parses (ISO stays ISO; day-first otherwise)."""
+    return F.coalesce(*[F.try_to_timestamp(F.col(col), F.lit(f)) for f in formats])
+
+
 def parse_dates(col: str, formats=DATE_FORMATS) -> F.Column:
-    """First format that parses (ISO stays ISO; day-first otherwise)."""
-    return F.coalesce(*[F.try_to_timestamp(F.col(col), F.lit(f)) for f in formats]).cast("date")
+    """The day alone."""
+    return parse_timestamps(col, formats).cast("date")
 
 
 def truncate(col: str, n: int = 512) -> F.Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newslens.functions import text as T
 from newslens.functions.lexicons import POS_LOOKUP, spanish_stop_words
+from newslens.operators.common import maybe_broadcast
 
 BASE_COUNTS = (
     "total_words", "total_sentences", "total_paragraphs", "total_characters",
@@ -112,10 +113,10 @@ def pos_lookup_df(spark, lookup=POS_LOOKUP) -> DataFrame:
 def pos_tags(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lookup=POS_LOOKUP) -> DataFrame:
     """Rule tagger (token -> UPOS): closed-class lookup, NUM, PUNCT, else X.
 
-    The lookup table has a fixed, small size, so it is broadcast.
+    The fixed lookup table is small, so it is broadcast; a caller's own only if its count allows it.
     """
-    spark = df.sparkSession
-    lk = F.broadcast(pos_lookup_df(spark, lookup))
+    lk = pos_lookup_df(df.sparkSession, lookup)
+    lk = F.broadcast(lk) if lookup is POS_LOOKUP else maybe_broadcast(lk)
     toks = df.select(F.col(id_col), F.posexplode(T.tokens(text_col)).alias("pos", "token"))
     tagged = toks.join(lk, F.lower(toks["token"]) == lk["form"], "left")
     upos = (

@@ -117,3 +117,21 @@ def d8_parse_dates(spark, sf):
     fecha = F.when(F.col("doc_id") % 2 == 0, F.date_format("fecha_dt", "dd/MM/yy")).otherwise(
         F.date_format("fecha_dt", "yyyy-MM-dd"))
     return a.select("doc_id", fecha.alias("fecha")).select("doc_id", C.parse_dates("fecha").alias("fecha_dt"))
+
+
+#: Layouts with and without a time of day, by document id: Spark's pattern and DuckDB's.
+LAYOUTS = [("dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
+           ("dd/MM/yy HH:mm", "%d/%m/%y %H:%M"), ("dd/MM/yyyy HH:mm:ss", "%d/%m/%Y %H:%M:%S"), ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
+           ("dd-MM-yyyy", "%d-%m-%Y"), ("yyyy/MM/dd", "%Y/%m/%d"), ("dd/MM/yyyy", "%d/%m/%Y")]
+
+
+@query("d8_parse_timestamps", f"""
+WITH d AS (SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) + to_minutes(doc_id * 37 % 1440) AS ts FROM documents),
+f AS (SELECT doc_id, CASE doc_id % {len(LAYOUTS)} {" ".join(f"WHEN {i} THEN strptime(strftime(ts, '{d}'), '{d}')" for i, (_, d) in enumerate(LAYOUTS))} END AS ts FROM d)
+SELECT doc_id, epoch(ts)::BIGINT AS seconds FROM f""")
+def d8_parse_timestamps(spark, sf):
+    """Dates in nine layouts, to the second where the layout has a time."""
+    minutes = F.col("doc_id") * 37 % 1440
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("doc_id") % 30 * 86400 + minutes * 60)
+    said = F.coalesce(*[F.when(F.col("doc_id") % len(LAYOUTS) == i, F.date_format(ts, s)) for i, (s, _) in enumerate(LAYOUTS)])
+    return documents(spark, sf).select("doc_id", said.alias("fecha")).select("doc_id", F.unix_timestamp(C.parse_timestamps("fecha")).alias("seconds"))

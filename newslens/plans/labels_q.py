@@ -9,6 +9,7 @@ from newslens.operators import balance as R
 from newslens.operators import labels as B
 from newslens.operators import validate as V
 from newslens.operators.common import class_counts
+from newslens.operators.grid import summary
 from newslens.plans.registry import finish, query, r6, sql_sentences, sql_tokens
 from newslens.sources.tables import documents, table
 
@@ -182,6 +183,29 @@ def v7_cv_summary(spark, sf):
     return finish(V.cv_summary(per_fold).select("mean_acc", "std_acc", "mean_f1_macro"))
 
 
+@query("v7_fold_classes", f"""
+WITH {RANKED}, {PRED_SQL},
+pf AS (SELECT p.*, (r.rk % 3)::INTEGER AS fold FROM p JOIN r USING (doc_id)),
+pc AS (SELECT fold, class, sum(tp) AS tp, sum(n) AS n, {F1_SQL} AS f1 FROM {_confusion_sql('pf', 'fold')} GROUP BY fold, class),
+pfm AS (SELECT fold, sum(tp) / sum(n) AS acc, avg(f1) AS f1_macro FROM pc GROUP BY fold)
+SELECT pc.fold, pc.class, {r6('pc.f1')} AS f1, {r6('avg(pc.f1) OVER (PARTITION BY pc.class)')} AS mean_f1, {r6('pfm.acc')} AS acc, {r6('pfm.f1_macro')} AS f1_macro
+FROM pc JOIN pfm USING (fold)""")
+def v7_fold_classes(spark, sf):
+    """The fold lists of the summary, a row for each fold and class, with the mean F1 of the class."""
+    lab = R.stratified_folds(_labelled(spark, sf), seed=SEED)
+    d = documents(spark, sf).select("doc_id", (F.length("text") % 2).cast("int").alias("pred"))
+    per_class = V.per_class_metrics(lab.join(d, "doc_id"), by=["fold"])
+    per_fold = per_class.groupBy("fold").agg((F.sum("tp") / F.sum("n")).alias("acc"), F.avg("f1").alias("f1_macro"),
+                                             F.map_from_entries(F.collect_list(F.struct("class", "f1"))).alias("f1_class"))
+    rows = per_fold.select(F.lit("e").alias("experiment"), F.lit("p").alias("params_key"), "fold", "acc", "f1_macro", "f1_class")
+    s = summary(rows).select("mean_f1_class", F.posexplode(F.arrays_zip("acc_folds", "f1_macro_folds", "f1_class_folds")).alias("fold", "z"))
+    one = s.select("fold", "z.acc_folds", "z.f1_macro_folds", "mean_f1_class", F.posexplode("z.f1_class_folds").alias("i", "f1"))
+    # the classes of a fold's list are in order; those of the mean, too
+    return finish(one.select("fold", F.element_at(F.sort_array(F.map_keys("mean_f1_class")), F.col("i") + 1).alias("class"), "f1",
+                             F.element_at("mean_f1_class", F.element_at(F.sort_array(F.map_keys("mean_f1_class")), F.col("i") + 1)).alias("mean_f1"),
+                             F.col("acc_folds").alias("acc"), F.col("f1_macro_folds").alias("f1_macro")))
+
+
 PREDICTORS = {"len_mod_2": lambda n: (n % 2).cast("int"), "len_mod_3_is_0": lambda n: (n % 3 == 0).cast("int")}
 PRED_SQL_MULTI = """pm AS (SELECT 'len_mod_2' AS params_key, l.quality AS label, (length(d.text) % 2)::INTEGER AS pred
             FROM labels l JOIN documents d USING (doc_id)

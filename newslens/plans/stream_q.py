@@ -6,20 +6,22 @@ import os
 
 from pyspark.sql import functions as F
 
-from newslens.plans.registry import query
+from newslens.plans.registry import finish, query
+from newslens.plans.text_q import BASE_CTE, COUNTS, RATIO_SQL, _counts_sql, _ratios_sql
 from newslens.session import scratch_path
 from newslens.sources.tables import documents, table
 from newslens.streaming import features as SF
 
 
-@query("stream_features")
+@query("stream_features", f"WITH {BASE_CTE} SELECT doc_id AS id, {_counts_sql()}, {_ratios_sql()} FROM b")
 def stream_features(spark, sf):
     """Documents arrive as request files; the stream featurises them micro-batch by micro-batch."""
     base = scratch_path(spark, "stream")
     src = os.path.join(base, "requests")
-    documents(spark, sf).select(F.col("doc_id").alias("id"), "text").repartition(4).write.parquet(src)
-    SF.run_feature_stream(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files_per_trigger=1)
-    return SF.latest_results(spark, os.path.join(base, "out")).select("id", "total_words")
+    documents(spark, sf).select(F.col("doc_id").alias("id"), "text").write.parquet(src)  # a request file for each partition
+    SF.run_feature_stream(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files_per_trigger=4)
+    r = SF.latest_results(spark, os.path.join(base, "out"))
+    return finish(r.select("id", *[x for c in COUNTS for x in (c, f"{c}_log")], *RATIO_SQL))
 
 
 @query("stream_lookup", """

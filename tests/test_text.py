@@ -90,3 +90,24 @@ def test_sentiment_rules(spark):
     m2 = {x["doc_id"]: x for x in M.phrase_sentiment(d).collect()}
     assert (m2[1]["positive_phrases_count"], m2[1]["negative_phrases_count"], m2[1]["neutral_phrases_count"]) == (1, 1, 1)
     assert m2[2]["positive_phrases_ratio"] == 0.0
+
+
+def test_heavy_entities_are_scored_where_they_lie(spark):
+    """One entity in 90 % of the documents: the scores are those of a plain join, and its rows are not joined by a shuffle."""
+    import math
+
+    from newslens.operators import entities as E
+
+    docs = spark.range(200).withColumnRenamed("id", "doc_id")
+    rows = [(i, "hot") for i in range(180)] + [(i, f"e{i % 7}") for i in range(0, 200, 2)] + [(5, "own")]
+    ents = spark.createDataFrame(rows, "doc_id long, entity string")
+    df = {}
+    for _, e in rows:
+        df[e] = df.get(e, 0) + 1
+    wanted = {i: sum(math.log(200 / (1 + df[e])) for j, e in rows if j == i) for i in range(200)}
+    for heavy in (50, 1, 10**6):
+        scored = E.entity_scores(docs, ents=ents, heavy_df=heavy)
+        found = {r.doc_id: r.score for r in scored.collect()}
+        assert found.keys() == wanted.keys() and all(abs(found[i] - wanted[i]) < 1e-9 for i in found)
+    plan = E.entity_scores(docs, ents=ents, heavy_df=50)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
