@@ -49,7 +49,7 @@ LITERALS = 4
 COVERAGE = 0.5
 MOST_BROADCAST = 500_000
 #: Texts that tell common pairs from rare ones; that decides which pair is sought first, and nothing else.
-SAMPLE = 2000
+SAMPLE = 8000
 #: First words of sought pairs that a plan may list.
 MOST_FIRST = 20_000
 
@@ -219,20 +219,16 @@ def _matches(texts: DataFrame, own: DataFrame) -> DataFrame:
     return streams[0].select(*columns) if len(streams) == 1 else streams[0].select(*columns).unionByName(streams[1].select(*columns))
 
 
-def _neighbour_words(texts: DataFrame) -> DataFrame:
-    """texts (id, text) -> (id, near): an array of all (a, b), neighbouring runs of letters, in lower case."""
-    letters = F.trim(F.lower(F.regexp_replace("text", r"[^\p{L}]++", " ")))
-    words = texts.select("id", F.split(letters, " ").alias("a")).where(F.size("a") > 1)
-    return words.select("id", F.arrays_zip(F.slice("a", 1, F.size("a") - 1).alias("a"), F.slice("a", 2, F.size("a")).alias("b")).alias("near"))
-
-
 def _word_pairs(texts: DataFrame, sought: DataFrame) -> DataFrame:
-    """texts (id, text) -> (id, pair): the pairs "a b" of ``sought`` that stand in each text."""
+    """texts (id, text) -> (id, pair): the pairs "a b" of ``sought`` among the neighbouring runs of letters, in lower case, of each text."""
     first = sought.select(F.substring_index("pair", " ", 1).alias("w")).distinct().limit(MOST_FIRST + 1).collect()
-    near = _neighbour_words(texts)
+    letters = F.trim(F.lower(F.regexp_replace("text", r"[^\p{L}]++", " ")))
+    words = texts.select("id", F.split(letters, " ").alias("a"))
+    near = words.select("id", F.arrays_zip(F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0))).alias("a"), F.slice("a", 2, F.size("a")).alias("b")).alias("near"))
     if len(first) <= MOST_FIRST:  # cheaper than a row for each pair of the text; the join alone decides
         near = near.select("id", F.filter("near", lambda z: z["a"].isin([r.w for r in first])).alias("near"))
-    each = near.select("id", F.inline("near")).toDF("id", "a", "b")
+    # outer, and no condition on the arrays: Spark would push it down and cut all words a second time
+    each = near.select("id", F.inline_outer("near")).toDF("id", "a", "b").where(F.col("b").isNotNull())
     return each.select("id", F.concat("a", F.lit(" "), "b").alias("pair")).join(maybe_broadcast(sought, MOST_BROADCAST), "pair").distinct()
 
 
@@ -299,6 +295,18 @@ def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, li
     share = F.greatest(F.col("n") / F.col("total"), F.when(F.col("templates") > 0, F.col("n_templates") / F.col("templates")))
     hits = stage(diagonal.unionByName(chain).withColumn("share", share).where(F.col("share") >= coverage), "hits")
 
+    # word for word, or with other values; the former need no comparison of slots
+    said = _running(texts).select("id", F.col("running").alias("said"))
+    asked = _running(questions).select(F.col("id").alias("item"), F.col("running").alias("asked"))
+    found = hits.groupBy("id", "item").agg(F.max(F.struct("n", "share")).alias("b"))
+    found = found.join(said, "id").join(asked, "item").select("id", "item", F.col("b.n").cast("bigint").alias("n"), F.col("b.share").alias("share"), F.contains("said", "asked").alias("verbatim"))
+    found = stage(found, "found")
+    exact = found.where("verbatim").withColumn("consistent", F.lit(True))
+    other = found.where(~F.col("verbatim")).select("id", "item")
+    if other.isEmpty():
+        return exact
+    hits = hits.join(other, ["id", "item"], "left_semi")
+
     # for each item window of a candidate one place in the text: on the diagonal with most windows
     of_diagonal = diagonal.select("id", "item", "chain", "shift", F.col("n").alias("weight"))
     weighed = chained.join(hits.select("id", "item", "chain").distinct(), ["id", "item", "chain"], "left_semi").join(of_diagonal, ["id", "item", "chain", "shift"])
@@ -332,10 +340,7 @@ def _decisions(docs: DataFrame, items: DataFrame, text_col: str, window: int, li
     judged = pairs.select("id", "item", "n", "share", consistent.alias("consistent"))
     best = judged.groupBy("id", "item").agg(F.max(F.struct("consistent", "n", "share")).alias("b"))
     whole = best.select("id", "item", F.col("b.n").cast("bigint").alias("n"), F.col("b.share").alias("share"), F.col("b.consistent").alias("consistent"))
-    said = _running(texts).select("id", F.col("running").alias("said"))
-    asked = _running(questions).select(F.col("id").alias("item"), F.col("running").alias("asked"))
-    both = whole.join(said, "id").join(asked, "item")
-    return stage(both.select("id", "item", "n", "share", F.contains("said", "asked").alias("verbatim"), "consistent"), "decisions")
+    return stage(exact.unionByName(whole.withColumn("verbatim", F.lit(False))), "decisions")
 
 
 def _running(rows: DataFrame) -> DataFrame:
