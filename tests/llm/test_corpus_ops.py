@@ -405,7 +405,7 @@ def test_decontamination_windows_equal_plain_python(spark):
             found = {k for k, x in enumerate(asked) if x in held}
             if len(found) >= 0.5 * len(asked):
                 wanted[i, j] = (f" {q} " in f" {t} ", len(found) / len(asked))
-    assert len(wanted) > 10 and leaks(spark, docs, items)[2] == wanted
+    assert len(wanted) >= 10 and leaks(spark, docs, items)[2] == wanted
 
 
 def test_near_copies_without_id_are_linked_and_one_row_stays(spark):
