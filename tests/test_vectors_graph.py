@@ -120,3 +120,24 @@ def test_smote_and_clean(spark):
     got = NB.smote_and_clean(df, NB.tomek_keep, k=2).collect()
     assert len({r["key"] for r in got}) == len(got) == len(kept) < len(rows)
     assert {(r["id"], r["parent_id"], tuple(r["vec"]), r["label"]) for r in got} == {(i, p, tuple(v), y) for i, p, v, y in kept}
+
+
+def test_knn_reads_its_rows_as_a_stream(spark):
+    """A task of the search holds its queries and one batch: no plan groups rows, and rows that are no neighbours are left out."""
+    rng = np.random.default_rng(5)
+    some = np.round(rng.normal(size=(60, 4)), 1)
+    data = [(i, [float(x) for x in some[i % 60]]) for i in range(240)] + [(500, None), (501, [float("nan")] * 4)]
+    df = spark.createDataFrame(data, "id long, vec array<double>").repartition(3)
+    plan = knn(df, k=5, metric="euclidean", cell_size=16)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
+    whole = {i: np.array(v) for i, v in data[:240]}
+    for metric in ("euclidean", "cosine"):
+        unit = {i: v / np.linalg.norm(v) for i, v in whole.items()} if metric == "cosine" else whole
+        far = {}
+        for i, v in unit.items():
+            d = {j: ((w - v) ** 2).sum() / 2.0 if metric == "cosine" else np.sqrt(((w - v) ** 2).sum()) for j, w in unit.items() if j != i}
+            far[i] = sorted(d, key=lambda j: (round(d[j], 6), j))[:5]
+        got = {}
+        for r in knn(df, k=5, metric=metric, cell_size=16).collect():
+            got.setdefault(r.qid, {})[r["rank"]] = r.nn_id
+        assert {i: [n[k] for k in sorted(n)] for i, n in got.items()} == far
