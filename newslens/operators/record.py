@@ -25,7 +25,7 @@ def _as_map(long: DataFrame, id_col: str, name: str) -> DataFrame:
 
 
 def feature_record(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    d = TP.by_doc(docs.select(id_col, text_col), id_col)
+    d = TP.by_doc(docs.select(id_col, text_col), id_col, text_col)
     base = S.text_stats(d, text_col, id_col)
     pos = _as_map(S.pos_stats(d, text_col, id_col), id_col, "pos")
     ner = _as_map(E.ner_stats(d, text_col, id_col), id_col, "ner")

@@ -5,7 +5,7 @@ reduces to L2-normalised term counts (idf = 1). The whole family is therefore
 relational: explode the filtered lemmas, count per (doc, term), rank.
 
 Partitioning: the input is hash-partitioned on the id once
-(``by_doc``); the term aggregate, the rank windows and the joins back to the
+(``by_doc``), into as many parts as the texts are long; the term aggregate, the rank windows and the joins back to the
 document all require a distribution on the id that this one exchange already
 satisfies, so the family costs a single shuffle of (id, lemma array). With a
 documents table bucketed on the id even that exchange disappears.
@@ -13,6 +13,8 @@ documents table bucketed on the id even that exchange disappears.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,16 @@ from newslens.functions import text as T
 from newslens.functions.lexicons import TOPIC_CELLS, TOPIC_VOCAB_CAP, TOPICS_TOP
 
 
-def by_doc(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return df.repartition(id_col)
+#: Bytes of text in a part: its terms are counted, sorted and ranked in one task's memory.
+PART_BYTES = 8 << 20
+
+
+def by_doc(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Dealt by id. A given number of parts: by default they would be merged by the size of the texts as shuffled, a fraction
+    of what their exploded terms take."""
+    spark = df.sparkSession
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return df.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(size / PART_BYTES)), id_col)
 
 
 def topic_terms(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
