@@ -56,3 +56,9 @@ def test_ward_sends_a_cluster_to_few_blocks(spark, monkeypatch):
 def test_readability_cuts_words_once(spark):
     plan = readability(_docs(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f"regexp_extract_all(text#") <= plan.count(T.SENTENCE_RE) + plan.count(f", {T.WORD_RE}, 0") and plan.count(f", {T.WORD_RE}, 0") == 1
+
+
+def test_each_topic_slot_has_its_own_vector(spark):
+    tops = spark.createDataFrame([(1, 2, "perro"), (1, 1, "gato"), (2, 1, "perro")], "doc_id bigint, rank bigint, term string")
+    e = {r["doc_id"]: r["topic_embedding"] for r in vectors.topic_embeddings(tops, dim=16).collect()}
+    assert any(e[1][:16]) and any(e[2][:16]) and e[1][16:32] == e[2][:16] != e[1][:16] and not any(e[1][32:]) and not any(e[2][16:])
