@@ -7,18 +7,23 @@ class and round, on the softmax). Features are cut into at most BINS bins by qua
 A tree grows in passes. A pass runs the best-first choice - always split the leaf of largest gain - on what is known, noting the
 leaves whose split it would make but whose children it hasn't seen; then one job computes the histograms of those children for
 all fits. When nothing new is asked for, the choice was exact, and the tree is done; so a tree takes about as many jobs as it is
-deep, not as it has leaves. In a job, each task sums gradients by (fit, class, node, feature, bin) over its rows and the partial
-histograms are summed by node in Spark, where the best split of each node is found, too; the driver gets a line for each node.
-(While all tasks' partial histograms together are below DRIVER_BYTES, the driver adds them itself, in the same order of
-operations; that saves a shuffle a pass on small tables.)
+deep, not as it has leaves.
 
-Rows stay in their partitions with their margins; each round adds the last trees' values in the pass that opens the next round.
-Margins are persisted, and checkpointed every CHECKPOINT rounds, so a lost executor replays a few rounds and no more.
+Each fit has its own copy of its fold's rows (bins and margins, a few bytes each), dealt once into chunks of at most CHUNK_ROWS
+rows; a chunk is always read by one task, as a few rows of packed arrays. A task sums gradients by (output, node, feature, bin)
+over its chunk, batch by batch. A fit of one chunk finds its best splits there, and only a line for each node leaves the task;
+the histograms of more chunks are summed by node in Spark first. So what is shuffled in a pass grows with the chunks, one for
+each CHUNK_ROWS rows, and is nothing below that. (While the histograms of all chunks are below DRIVER_BYTES, the driver adds
+them itself, in the same order of operations; that saves a shuffle a pass.)
+
+Margins stay with their rows; each round adds the last trees' values in the pass that opens the next round. They are persisted,
+and cut from their lineage every CHECKPOINT rounds, so a lost executor replays a few rounds and no more.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +42,8 @@ TREES, MIN_CHILD, MIN_HESSIAN = 100, 10, 1e-3
 # --- end fixed values ------------------------------------------------------------------------------------
 BINS = 255
 CHECKPOINT = 20
+#: Rows of a fit whose histograms one task sums; and rows for which a task of its own is worth while.
+CHUNK_ROWS, ROWS_PER_TASK = 1 << 17, 5000
 DRIVER_BYTES = 64 << 20
 
 
@@ -170,52 +177,81 @@ class Fit:
     open: bool = True
 
 
-def _matrix(column: pd.Series, kind: type) -> np.ndarray:
-    return np.stack([np.frombuffer(b, kind) for b in column])
-
-
-def _with_bins(rows: DataFrame, edges: dict[int, list[np.ndarray]], width: int) -> DataFrame:
-    """rows (fold, id, x, label) -> (fold, id, label, bins binary, margins binary): zeros for ``width`` outputs."""
+def _dealt(sets: FoldSets, edges: dict[int, list[np.ndarray]], places: int, outputs: int, chunks: int, parts: int) -> DataFrame:
+    """Every fit's training rows, in parts that hold whole chunks: (part, fit, first, label, bins, margins), a row for a batch of
+    a fit's rows, with their labels, bins and margins (zeros) as bytes. The fit of parameter set p and the f-th fold is p x folds + f."""
+    at = {f: i for i, f in enumerate(sets.folds)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for fold, part in pdf.groupby("fold"):
-                bins = _binned(np.stack(part["x"].to_list()), edges[int(fold)])
-                yield pd.DataFrame({"fold": part["fold"], "id": part["id"], "label": part["label"], "bins": [b.tobytes() for b in bins], "margins": [bytes(8 * width)] * len(part)})
+                if int(fold) in at:
+                    bins = _binned(np.stack(part["x"].to_list()), edges[int(fold)])
+                    yield pd.DataFrame({"at": at[int(fold)], "row": part["row"], "label": part["label"], "bins": [b.tobytes() for b in bins]})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (part, fit), rows in pdf.groupby(["part", "fit"]):
+                yield pd.DataFrame({"part": [part], "fit": [fit], "first": [rows["row"].iat[0]], "label": [rows["label"].to_numpy(np.int32).tobytes()],
+                                    "bins": [b"".join(rows["bins"])], "margins": [bytes(8 * outputs * len(rows))]})
+
+    rows = sets.training.select("fold", "x", "label", F.monotonically_increasing_id().alias("row"))
+    rows = rows.mapInPandas(binned, "at int, row long, label int, bins binary")
+    fits = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda p: (p * len(sets.folds) + F.col("at")).cast("int"))
+    rows = rows.select(F.explode(fits).alias("fit"), "row", "label", "bins")
+    rows = rows.select(F.pmod(F.col("fit") * chunks + F.pmod("row", F.lit(chunks)), F.lit(parts)).cast("int").alias("part"), "fit", "row", "label", "bins")
+    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("fit", "row")
+    return rows.mapInPandas(packed, "part int, fit int, first long, label binary, bins binary, margins binary")
+
+
+def _kept(state: DataFrame, parts: int) -> DataFrame:
+    """State cut from its lineage, each part in one task."""
+    return materialize(state).repartitionById(parts, F.col("part")).sortWithinPartitions("fit", "first").persist()
 
-    return rows.select("fold", "id", "x", "label").mapInPandas(run, "fold int, id long, label int, bins binary, margins binary")
 
+def _arrays(row, dim: int, outputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, bins, margins) of a batch of rows."""
+    y = np.frombuffer(row.label, np.int32)
+    return y, np.frombuffer(row.bins, np.uint8).reshape(len(y), dim), np.frombuffer(row.margins).reshape(len(y), outputs)
 
-def _added(state: DataFrame, trees: dict[int, list[tuple[int, int, tuple]]], outputs: int) -> DataFrame:
-    """State with the values of new trees added: fold -> [(place of the fit among the margins, output, tree)]."""
+
+def _added(state: DataFrame, trees: dict[int, list[tuple]], dim: int) -> DataFrame:
+    """State with the values of new trees added: fit -> its tree for each output."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for fold, part in pdf.groupby("fold"):
-                bins, margins = _matrix(part["bins"], np.uint8), _matrix(part["margins"], np.float64).copy()
-                for place, output, tree in trees.get(int(fold), []):
-                    margins[:, place * outputs + output] += tree[4][descend(tree, bins)]
-                yield part.assign(margins=[m.tobytes() for m in margins])
+            out = []
+            for row in pdf.itertuples():
+                new = trees.get(row.fit)
+                if new:
+                    _, bins, margins = _arrays(row, dim, len(new))
+                    out.append((margins + np.stack([tree[4][descend(tree, bins)] for tree in new], 1)).tobytes())
+                else:
+                    out.append(row.margins)
+            yield pdf.assign(margins=out)
 
     return state.mapInPandas(run, state.schema)
 
 
-def _histograms(state: DataFrame, tasks: int, asked: dict[int, list[tuple[int, int, int, tuple, list[int]]]], dim: int, bins: int, outputs: int, min_child: int) -> dict:
-    """fold -> [(fit number, place, output, partial tree, nodes)]; returns (fit number, output, node) -> (split, g, h, n)."""
+def _histograms(state: DataFrame, chunks: int, asked: dict[int, list[tuple[int, tuple, list[int]]]], dim: int, bins: int, outputs: int, min_child: int) -> dict:
+    """fit -> [(output, partial tree, nodes)]; returns (fit, output, node) -> (split, g, h, n)."""
+    lines = "fit int, output int, node int, gain double, feature int, bin int, g double, hs double, n long"
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def line(key: tuple, histogram: np.ndarray) -> dict:
+        split, g, h, n = best_split(histogram, min_child)
+        return {"fit": key[0], "output": key[1], "node": key[2], "gain": split.gain, "feature": split.feature, "bin": split.bin, "g": g, "hs": h, "n": n}
+
+    def summed(batches: Iterator[pd.DataFrame]) -> dict[tuple[int, int, int], np.ndarray]:
         sums: dict[tuple[int, int, int], np.ndarray] = {}
         for pdf in batches:
-            for fold, part in pdf.groupby("fold"):
-                of = asked.get(int(fold), [])
+            for row in pdf.itertuples():
+                of = asked.get(row.fit, [])
                 if not of:
                     continue
-                held, margins, y = _matrix(part["bins"], np.uint8), _matrix(part["margins"], np.float64), part["label"].to_numpy()
-                slopes = {}
-                for number, place, output, tree, nodes in of:
-                    if place not in slopes:
-                        slopes[place] = derivatives(margins[:, place * outputs : (place + 1) * outputs], y)
-                    g, h = slopes[place][0][:, output], slopes[place][1][:, output]
+                y, held, margins = _arrays(row, dim, outputs)
+                slopes = derivatives(margins, y)
+                for output, tree, nodes in of:
+                    g, h = slopes[0][:, output], slopes[1][:, output]
                     slot = np.full(len(tree[0]), -1)
                     slot[nodes] = np.arange(len(nodes))
                     slot = slot[descend(tree, held)]
@@ -226,28 +262,34 @@ def _histograms(state: DataFrame, tasks: int, asked: dict[int, list[tuple[int, i
                         for k, w in enumerate((g[rows], h[rows], None)):
                             total[:, k, j] = np.bincount(cell, w, len(nodes) * bins).reshape(len(nodes), bins)
                     for i, node in enumerate(nodes):
-                        key = (number, output, node)
+                        key = (row.fit, output, node)
                         sums[key] = sums[key] + total[i] if key in sums else total[i]
-        if sums:
-            yield pd.DataFrame({"fit": [k[0] for k in sums], "output": [k[1] for k in sums], "node": [k[2] for k in sums], "h": [v.tobytes() for v in sums.values()]})
+        return sums
 
-    def chosen(blobs) -> tuple[Split, float, float, int]:
-        return best_split(np.sum([np.frombuffer(b).reshape(3, dim, bins) for b in blobs], axis=0), min_child)
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [line(key, histogram) for key, histogram in summed(batches).items()]
+        if found:
+            yield pd.DataFrame(found)
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        split, g, h, n = chosen(pdf["h"])
-        return pd.DataFrame({"fit": [pdf["fit"].iat[0]], "output": [pdf["output"].iat[0]], "node": [pdf["node"].iat[0]], "gain": [split.gain],
-                             "feature": [split.feature], "bin": [split.bin], "g": [g], "hs": [h], "n": [n]})
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, histogram in summed(batches).items():
+            yield pd.DataFrame({"fit": [key[0]], "output": [key[1]], "node": [key[2]], "h": [histogram.tobytes()]})
 
-    found = state.mapInPandas(partial, "fit int, output int, node int, h binary")
-    nodes = sum(len(x[4]) for of in asked.values() for x in of)
-    if tasks * nodes * 3 * dim * bins * 8 <= DRIVER_BYTES:
-        parts: dict[tuple[int, int, int], list[bytes]] = {}
-        for r in found.collect():
-            parts.setdefault((r.fit, r.output, r.node), []).append(r.h)
-        return {key: chosen(blobs) for key, blobs in parts.items()}
-    summed = found.groupBy("fit", "output", "node").applyInPandas(reduce, "fit int, output int, node int, gain double, feature int, bin int, g double, hs double, n long")
-    return {(r.fit, r.output, r.node): (Split(r.gain, r.feature, r.bin), r.g, r.hs, r.n) for r in summed.collect()}  # a line for each node
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf["fit"].iat[0], pdf["output"].iat[0], pdf["node"].iat[0]
+        return pd.DataFrame([line(key, np.sum([np.frombuffer(b).reshape(3, dim, bins) for b in pdf["h"]], axis=0))])
+
+    if chunks == 1:  # a fit's rows are in one task
+        found = state.mapInPandas(whole, lines)
+    else:
+        parts = state.mapInPandas(partial, "fit int, output int, node int, h binary")
+        if chunks * sum(len(x[2]) for of in asked.values() for x in of) * 3 * dim * bins * 8 <= DRIVER_BYTES:
+            sums: dict[tuple[int, int, int], list[bytes]] = {}
+            for r in parts.collect():
+                sums.setdefault((r.fit, r.output, r.node), []).append(r.h)
+            return {key: best_split(np.sum([np.frombuffer(b).reshape(3, dim, bins) for b in blobs], axis=0), min_child) for key, blobs in sums.items()}
+        found = parts.groupBy("fit", "output", "node").applyInPandas(reduce, lines)
+    return {(r.fit, r.output, r.node): (Split(r.gain, r.feature, r.bin), r.g, r.hs, r.n) for r in found.collect()}  # a line for each node
 
 
 def _partial(tree: Tree, asked: list[int]) -> tuple[tuple[np.ndarray, ...], list[int]]:
@@ -266,29 +308,30 @@ def _partial(tree: Tree, asked: list[int]) -> tuple[tuple[np.ndarray, ...], list
     return (feature, cut, left, right), [c for i in asked for c in (tree.nodes[i].left, tree.nodes[i].right)]
 
 
-def boost_grid(sets: FoldSets, params: list[dict], trees: int = TREES, min_child: int = MIN_CHILD, bins: int = BINS) -> list[Fit]:
+def boost_grid(sets: FoldSets, params: list[dict], trees: int = TREES, min_child: int = MIN_CHILD, bins: int = BINS,
+               chunk_rows: int = CHUNK_ROWS) -> list[Fit]:
     """Every parameter set (learning_rate, num_leaves, max_depth) on every fold, in step."""
     outputs = 1 if sets.classes <= 2 else sets.classes
     edges = {f: bin_edges(sets.training.filter(F.col("fold") == f), sets.dim, bins) for f in sets.folds}
     fits = [Fit(p, f, edges[f]) for p in params for f in sets.folds]
-    place = {i: params.index(fit.params) for i, fit in enumerate(fits)}
-    state = materialize(_with_bins(sets.training, edges, len(params) * outputs))
-    tasks = state.rdd.getNumPartitions()
-    last, persisted = None, []
+    sizes = [r["n"] for r in sets.training.groupBy("fold").agg(F.count("*").alias("n")).collect()]
+    chunks = max(1, math.ceil(max(sizes, default=0) / chunk_rows))
+    parts = max(1, min(len(fits) * chunks, max(2, sum(sizes) * len(params) // ROWS_PER_TASK)))
+    state = _kept(_dealt(sets, edges, len(params), outputs, chunks, parts), parts)
+    last, persisted = None, [state]
     for rnd in range(trees):
         if last:
-            state = _added(state, last, outputs).persist()
+            state = _added(state, last, sets.dim)
+            state = state.persist() if rnd % CHECKPOINT else _kept(state, parts)
             persisted.append(state)
-            if rnd % CHECKPOINT == 0:
-                state = materialize(state)
         growing = {(i, k): Tree({0: Node(0, 0.0, 0.0, 0, Split())}) for i, fit in enumerate(fits) if fit.open for k in range(outputs)}
         ask: dict[tuple[int, int], tuple[tuple, list[int]]] = {key: _partial(tree, []) for key, tree in growing.items()}
         ask = {key: (arrays, [0]) for key, (arrays, _) in ask.items()}
         while ask:
-            by_fold: dict[int, list] = {}
+            by_fit: dict[int, list] = {}
             for (i, k), (arrays, nodes) in ask.items():
-                by_fold.setdefault(fits[i].fold, []).append((i, place[i], k, arrays, nodes))
-            found = _histograms(state, tasks, by_fold, sets.dim, bins, outputs, min_child)
+                by_fit.setdefault(i, []).append((k, arrays, nodes))
+            found = _histograms(state, chunks, by_fit, sets.dim, bins, outputs, min_child)
             for (i, k, node), (split, g, h, n) in found.items():
                 at = growing[i, k].nodes[node]
                 at.split, at.g, at.h, at.n = split, g, h, n
@@ -311,7 +354,7 @@ def boost_grid(sets: FoldSets, params: list[dict], trees: int = TREES, min_child
                 continue
             finished = [t.arrays(fit.params["learning_rate"]) for t in own]
             fit.trees.append(finished)
-            last.setdefault(fit.fold, []).extend((place[i], k, t) for k, t in enumerate(finished))
+            last[i] = finished
         if not last:
             break
     for old in persisted:

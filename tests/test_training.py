@@ -158,6 +158,28 @@ def test_trees_equal_best_first_growth_on_one_machine(spark, monkeypatch, driver
             assert max(len(t[0]) for t in trees) <= 2 * fit.params["num_leaves"] - 1
 
 
+def test_a_fit_of_one_chunk_sends_lines_and_chunks_grow_the_same_trees(spark, monkeypatch):
+    sets = fold_sets(_table(spark, 150, classes=3, seed=4))
+    params = [{"learning_rate": 0.1, "num_leaves": 6, "max_depth": -1}, {"learning_rate": 0.3, "num_leaves": 9, "max_depth": 2}]
+    read, histograms = [], B._histograms
+
+    def watched(state, *rest):
+        read.append(state)
+        return histograms(state, *rest)
+
+    monkeypatch.setattr(B, "_histograms", watched)
+    whole = B.boost_grid(sets, params, trees=2, min_child=5)
+    # a fit's rows of its own fold, no rows of other fits beside them
+    rows = {r.fit: r.n for r in read[0].groupBy("fit").agg(F.sum(F.octet_length("label") / 4).cast("long").alias("n")).collect()}
+    of = {r.fold: r.n for r in sets.training.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    assert rows == {i: of[fit.fold] for i, fit in enumerate(whole)}
+    assert read[0].withColumn("task", F.spark_partition_id()).groupBy("fit").agg(F.count_distinct("task").alias("n")).agg(F.max("n")).first()[0] == 1
+    chunked = B.boost_grid(sets, params, trees=2, min_child=5, chunk_rows=40)
+    for a, b in zip(whole, chunked):
+        for x, y in zip(a.trees, b.trees, strict=True):
+            assert all(np.allclose(u, v) for s, t in zip(x, y, strict=True) for u, v in zip(s, t, strict=True))
+
+
 def test_binary_trees_learn_and_a_constant_table_stops(spark):
     sets = fold_sets(_table(spark, 120))
     fits = B.boost_grid(sets, [{"learning_rate": 0.3, "num_leaves": 4, "max_depth": -1}], trees=6, min_child=5)
