@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newslens.operators import knn as K
 from newslens.plans.registry import finish, query, r6
+from newslens.session import materialize
 from newslens.sources.tables import embeddings, table
 
 K_NN = 30
@@ -111,6 +112,7 @@ def g10_modularity(spark, sf):
     nn = _knn(spark, sf)
     edges = nn.select(F.least("qid", "nn_id").alias("src"), F.greatest("qid", "nn_id").alias("dst"),
                       (1.0 - F.col("dist")).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    edges = materialize(edges)  # read by the sums of all edges, of those inside and of the degrees
     assign = _emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
     return finish(G.modularity(edges, assign))
 

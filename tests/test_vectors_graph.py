@@ -141,3 +141,15 @@ def test_knn_reads_its_rows_as_a_stream(spark):
         for r in knn(df, k=5, metric=metric, cell_size=16).collect():
             got.setdefault(r.qid, {})[r["rank"]] = r.nn_id
         assert {i: [n[k] for k in sorted(n)] for i, n in got.items()} == far
+
+
+def test_modularity_searches_neighbours_once(spark, tmp_path):
+    from newslens.plans.graph_q import g10_modularity
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(i % 2, 0.1, 4)], i % 2) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = g10_modularity(spark, str(tmp_path))
+    # the edges are read by several sums; no search is left in their plan
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert -0.5 <= found.first().q <= 1
