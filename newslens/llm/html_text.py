@@ -4,8 +4,8 @@ The standard library's streaming parser sends events; block-level tags cut the t
 how many tags stood in it, how much of it is link text, the elements around it, and whether one of them is boilerplate by
 its kind (nav, footer, form, script ...), role, or a word of its class or id (see the fixed lists). Such a word doesn't count
 on an element that holds most of the page's text, if no article or main element stands outside it, nor if nothing were left;
-inside an article or main element it only lowers the ratio to WORDED of what it is, and text that reaches the threshold even so
-stays, with its headings.
+inside an article or main element a word that names no advert only lowers the ratio to WORDED of what it is, and text that reaches
+the threshold even so stays, with its headings.
 Boilerplate lines have ratio 0. The ratios, in page order, are smoothed by a Gaussian; lines at or above the standard deviation of the smoothed
 ratios form clusters, and the clusters' text votes for the element that holds the content: the article or main element
 around most of it, with the article elements beside it whose mean smoothed ratio reaches the threshold, else the innermost element that holds nearly all of it. All other lines of that element which aren't
@@ -53,8 +53,9 @@ CLOSES_P = BLOCK - {"body", "caption", "head", "html", "legend", "li", "noscript
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMED = BLOCK - {"html", "body", "main"}
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
-WORDS = COMMENT_WORDS | frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertisements advertising adslot banner breadcrumb breadcrumbs byline "
+ADVERT_WORDS = frozenset("ad ads adbox adsense advert adverts advertisement advertisements advertising adslot".split())
+WORDS = COMMENT_WORDS | ADVERT_WORDS | frozenset(
+    "banner breadcrumb breadcrumbs byline "
     "consent cookie cookies copyright disclaimer donate footer gdpr header login masthead menu modal nav navbar navigation "
     "newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion "
     "recommendations recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
@@ -78,6 +79,7 @@ class Lines(HTMLParser):
         self.spans: list[list] = []
         self.parents: list[int] = []  # of each span, the number of the element around it, or -1
         self.worded: list[int] = []  # numbers of the elements that only a word of class or id marks
+        self.adverts: set[int] = set()  # those of them that a word names an advert
         self.skips = self.words = self.mains = self.links = 0
         self.text: list[str] = []
         self.tags = self.link_chars = 0
@@ -141,6 +143,8 @@ class Lines(HTMLParser):
             self.parents.append(self.open[-1][1] if self.open else -1)
             if why == "words":
                 self.worded.append(len(self.spans))
+                if any(name in ("class", "id") and value and ADVERT_WORDS & {w.lower() for w in _word(value)} for name, value in attrs):
+                    self.adverts.add(len(self.spans))
             self.open.append((tag, len(self.spans), why))
             self.spans.append([tag, len(self.lines), 0])
             self.skips += bool(why)
@@ -214,7 +218,7 @@ def unmarked(parser: Lines, lines: list[tuple[str, int, int, str, bool]], thresh
     for number in parser.worded:
         _, a, b = parser.spans[number]
         own = [k for k in range(a, b) if not parser.lines[k][4]]  # not skipped for another reason
-        if not own or not any(c <= a and b <= d for c, d in contents):
+        if not own or number in parser.adverts or not any(c <= a and b <= d for c, d in contents):
             continue
         chars, linked = sum(len(lines[k][0]) for k in own), sum(lines[k][2] for k in own)
         if linked <= LINK_SHARE * chars and WORDED * chars / max(1, sum(lines[k][1] for k in own)) >= threshold:
