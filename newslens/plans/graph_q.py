@@ -78,7 +78,7 @@ def _nodes(spark, sf):
 
 def _feats(spark, sf, nodes=None):
     if nodes is None:
-        nodes = _nodes(spark, sf).persist()  # read by k-NN, features, scores and the date range
+        nodes = materialize(_nodes(spark, sf))  # read by k-NN, features, scores and the date range
     ents = nodes.select("id", F.explode("entities").alias("entity"))
     scores = E.entity_scores(nodes.select("id"), ents=ents, id_col="id")
     return G.edge_features(G.knn_pairs(nodes), nodes, scores)

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from newslens.functions import text as T
 from newslens.operators import ivf, topics, vectors, ward
 from newslens.operators.textstats import readability
+from newslens.plans import graph_q, model_q
 
 
 def _docs(spark, n=40):
@@ -62,3 +64,29 @@ def test_each_topic_slot_has_its_own_vector(spark):
     tops = spark.createDataFrame([(1, 2, "perro"), (1, 1, "gato"), (2, 1, "perro")], "doc_id bigint, rank bigint, term string")
     e = {r["doc_id"]: r["topic_embedding"] for r in vectors.topic_embeddings(tops, dim=16).collect()}
     assert any(e[1][:16]) and any(e[2][:16]) and e[1][16:32] == e[2][:16] != e[1][:16] and not any(e[1][32:]) and not any(e[2][16:])
+
+
+def _graph_tables(spark, path, n=12):
+    docs = [(i, f"Casa {'Ana Lima' if i % 2 else 'Quito'} y Pedro{i % 3} hablan.", "es", "a", 40) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    rng = np.random.default_rng(3)
+    vecs = [(i, [float(x) for x in rng.normal(size=4)], i % 2) for i in range(n)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+
+
+@pytest.mark.parametrize("name", ["g1_edges", "g3_jaccard", "g4_time_closeness"])
+def test_event_graph_keeps_no_nodes_in_executors(spark, tmp_path, name):
+    _graph_tables(spark, tmp_path)
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    df = getattr(graph_q, name)(spark, str(tmp_path))
+    assert 0 < df.count() <= 12 * 11
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= kept
+    assert "InMemoryRelation" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_communities_keep_no_nodes_in_executors(spark, tmp_path, monkeypatch):
+    _graph_tables(spark, tmp_path)
+    monkeypatch.setattr(model_q, "louvain", lambda nodes, edges: nodes.withColumn("community", nodes["id"]))
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    assert model_q.g9_communities(spark, str(tmp_path)).count() == 12
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= kept
