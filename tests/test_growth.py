@@ -90,3 +90,13 @@ def test_communities_keep_no_nodes_in_executors(spark, tmp_path, monkeypatch):
     kept = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
     assert model_q.g9_communities(spark, str(tmp_path)).count() == 12
     assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= kept
+
+
+def test_communities_have_every_document(spark, tmp_path):
+    _graph_tables(spark, tmp_path)
+    more = spark.createDataFrame([(100, "Quito y Ana Lima.", "es", "a", 17), (101, None, None, None, None), (None, "x", "es", "a", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    more.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    found = {r.id: r.community for r in model_q.g9_communities(spark, str(tmp_path)).collect()}
+    assert found.keys() == {*range(12), 100, 101} and found[100] == 100 and found[101] == 101
+    assert model_q.g9_quality(spark, str(tmp_path)).first()["nodes"] == 12  # as its SQL
