@@ -11,9 +11,10 @@ deep, not as it has leaves.
 
 Each fit has its own copy of its fold's rows (bins and margins, a few bytes each), dealt once into chunks of at most CHUNK_ROWS
 rows; a chunk is always read by one task, as a few rows of packed arrays. A task sums gradients by (output, node, feature, bin)
-over its chunk, batch by batch. A fit of one chunk finds its best splits there, and only a line for each node leaves the task;
-the histograms of more chunks are summed by node in Spark first. So what is shuffled in a pass grows with the chunks, one for
-each CHUNK_ROWS rows, and is nothing below that. (While the histograms of all chunks are below DRIVER_BYTES, the driver adds
+over its chunk, batch by batch. A fit of one chunk finds its best splits there: once a job over the roots has told which fits can
+grow at all, all its trees are grown within the task, by the same passes, and one job does for the grid. The histograms of more
+chunks are summed by node in Spark, a job a pass. So what is shuffled in a pass grows with the chunks, one for each CHUNK_ROWS
+rows, and is nothing below that. (While the histograms of all chunks are below DRIVER_BYTES, the driver adds
 them itself, in the same order of operations; that saves a shuffle a pass.)
 
 Margins stay with their rows; each round adds the last trees' values in the pass that opens the next round. They are persisted,
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,7 +45,7 @@ TREES, MIN_CHILD, MIN_HESSIAN = 100, 10, 1e-3
 BINS = 255
 CHECKPOINT = 20
 #: Rows of a fit whose histograms one task sums; and rows for which a task of its own is worth while.
-CHUNK_ROWS, ROWS_PER_TASK = 1 << 17, 5000
+CHUNK_ROWS, ROWS_PER_TASK = 1 << 18, 5000
 DRIVER_BYTES = 64 << 20
 
 
@@ -233,6 +235,20 @@ def _added(state: DataFrame, trees: dict[int, list[tuple]], dim: int) -> DataFra
     return state.mapInPandas(run, state.schema)
 
 
+def _sums(held: np.ndarray, g: np.ndarray, h: np.ndarray, tree: tuple, nodes: list[int], bins: int) -> np.ndarray:
+    """Histograms (nodes, 3, features, bins) of the rows that a partial tree brings to each of the nodes."""
+    slot = np.full(len(tree[0]), -1)
+    slot[nodes] = np.arange(len(nodes))
+    slot = slot[descend(tree, held)]
+    rows = np.flatnonzero(slot >= 0)
+    total = np.zeros((len(nodes), 3, held.shape[1], bins))
+    for j in range(held.shape[1]):
+        cell = slot[rows] * bins + held[rows, j]
+        for k, w in enumerate((g[rows], h[rows], None)):
+            total[:, k, j] = np.bincount(cell, w, len(nodes) * bins).reshape(len(nodes), bins)
+    return total
+
+
 def _histograms(state: DataFrame, chunks: int, asked: dict[int, list[tuple[int, tuple, list[int]]]], dim: int, bins: int, outputs: int, min_child: int) -> dict:
     """fit -> [(output, partial tree, nodes)]; returns (fit, output, node) -> (split, g, h, n)."""
     lines = "fit int, output int, node int, gain double, feature int, bin int, g double, hs double, n long"
@@ -251,16 +267,7 @@ def _histograms(state: DataFrame, chunks: int, asked: dict[int, list[tuple[int,
                 y, held, margins = _arrays(row, dim, outputs)
                 slopes = derivatives(margins, y)
                 for output, tree, nodes in of:
-                    g, h = slopes[0][:, output], slopes[1][:, output]
-                    slot = np.full(len(tree[0]), -1)
-                    slot[nodes] = np.arange(len(nodes))
-                    slot = slot[descend(tree, held)]
-                    rows = np.flatnonzero(slot >= 0)
-                    total = np.zeros((len(nodes), 3, dim, bins))
-                    for j in range(dim):
-                        cell = slot[rows] * bins + held[rows, j]
-                        for k, w in enumerate((g[rows], h[rows], None)):
-                            total[:, k, j] = np.bincount(cell, w, len(nodes) * bins).reshape(len(nodes), bins)
+                    total = _sums(held, slopes[0][:, output], slopes[1][:, output], tree, nodes, bins)
                     for i, node in enumerate(nodes):
                         key = (row.fit, output, node)
                         sums[key] = sums[key] + total[i] if key in sums else total[i]
@@ -308,6 +315,58 @@ def _partial(tree: Tree, asked: list[int]) -> tuple[tuple[np.ndarray, ...], list
     return (feature, cut, left, right), [c for i in asked for c in (tree.nodes[i].left, tree.nodes[i].right)]
 
 
+def _trees_within(batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], params: dict, trees: int, bins: int, min_child: int) -> list[list[tuple[np.ndarray, ...]]]:
+    """All trees of a fit from its (labels, bins, margins), by round and output; the sums are those of the passes of a grid."""
+    outputs, out = batches[0][2].shape[1], []
+    while len(out) < trees:
+        slopes = [derivatives(margins, y) for y, _, margins in batches]
+        growing = [Tree({0: Node(0, 0.0, 0.0, 0, Split())}) for _ in range(outputs)]
+        ask = {k: (_partial(tree, [])[0], [0]) for k, tree in enumerate(growing)}
+        while ask:
+            for k, (arrays, nodes) in ask.items():
+                total = None
+                for (_, held, _), (g, h) in zip(batches, slopes):
+                    some = _sums(held, g[:, k], h[:, k], arrays, nodes, bins)
+                    total = some if total is None else total + some
+                for node, histogram in zip(nodes, total):
+                    at = growing[k].nodes[node]
+                    at.split, at.g, at.h, at.n = best_split(histogram, min_child)
+            ask = {}
+            for k, tree in enumerate(growing):
+                tree.expanded, unknown = best_first(tree, params["num_leaves"], params["max_depth"])
+                if unknown:
+                    ask[k] = _partial(tree, unknown)
+        if not any(t.expanded for t in growing):
+            break  # no later round would find a split either
+        out.append([t.arrays(params["learning_rate"]) for t in growing])
+        batches = [(y, held, margins + np.stack([tree[4][descend(tree, held)] for tree in out[-1]], 1)) for y, held, margins in batches]
+    return out
+
+
+def _grown_within(state: DataFrame, fits: list[Fit], trees: int, dim: int, bins: int, outputs: int, min_child: int) -> dict[int, list]:
+    """number of a fit -> all its trees, for the open fits; each has its rows in one task, one after the other."""
+    params = {i: fit.params for i, fit in enumerate(fits) if fit.open}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fit, held = None, []
+
+        def grown():
+            return pd.DataFrame({"fit": [fit], "trees": [pickle.dumps(_trees_within(held, params[fit], trees, bins, min_child))]})
+
+        for pdf in batches:
+            for row in pdf.itertuples():
+                if row.fit != fit:
+                    if held:
+                        yield grown()
+                    fit, held = row.fit, []
+                if row.fit in params:
+                    held.append(_arrays(row, dim, outputs))
+        if held:
+            yield grown()
+
+    return {r.fit: pickle.loads(r.trees) for r in state.mapInPandas(run, "fit int, trees binary").collect()}  # a few KB a tree
+
+
 def boost_grid(sets: FoldSets, params: list[dict], trees: int = TREES, min_child: int = MIN_CHILD, bins: int = BINS,
                chunk_rows: int = CHUNK_ROWS) -> list[Fit]:
     """Every parameter set (learning_rate, num_leaves, max_depth) on every fold, in step."""
@@ -316,9 +375,19 @@ def boost_grid(sets: FoldSets, params: list[dict], trees: int = TREES, min_child
     fits = [Fit(p, f, edges[f]) for p in params for f in sets.folds]
     sizes = [r["n"] for r in sets.training.groupBy("fold").agg(F.count("*").alias("n")).collect()]
     chunks = max(1, math.ceil(max(sizes, default=0) / chunk_rows))
-    parts = max(1, min(len(fits) * chunks, max(2, sum(sizes) * len(params) // ROWS_PER_TASK)))
+    # the trees of a fit of one chunk are the work of one task, however few its rows
+    parts = max(1, len(fits) if chunks == 1 else min(len(fits) * chunks, max(2, sum(sizes) * len(params) // ROWS_PER_TASK)))
     state = _kept(_dealt(sets, edges, len(params), outputs, chunks, parts), parts)
     last, persisted = None, [state]
+    if chunks == 1 and fits and trees:
+        roots = {i: [(k, _partial(Tree({0: Node(0, 0.0, 0.0, 0, Split())}), [])[0], [0]) for k in range(outputs)] for i in range(len(fits))}
+        able = {i for (i, _, _), (split, *_) in _histograms(state, chunks, roots, sets.dim, bins, outputs, min_child).items() if split.gain > 0}
+        for i, fit in enumerate(fits):
+            fit.open = i in able
+        for i, own in (_grown_within(state, fits, trees, sets.dim, bins, outputs, min_child) if able else {}).items():
+            fits[i].trees, fits[i].open = own, len(own) == trees
+        state.unpersist()
+        return fits
     for rnd in range(trees):
         if last:
             state = _added(state, last, sets.dim)

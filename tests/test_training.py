@@ -180,6 +180,16 @@ def test_a_fit_of_one_chunk_sends_lines_and_chunks_grow_the_same_trees(spark, mo
             assert all(np.allclose(u, v) for s, t in zip(x, y, strict=True) for u, v in zip(s, t, strict=True))
 
 
+def test_fits_of_one_chunk_take_no_job_a_pass(spark, monkeypatch):
+    sets = fold_sets(_table(spark, 120))
+    params = [{"learning_rate": 0.3, "num_leaves": 4, "max_depth": -1}, {"learning_rate": 0.1, "num_leaves": 3, "max_depth": 1}]
+    passes, histograms = [], B._histograms
+    monkeypatch.setattr(B, "_histograms", lambda *a: passes.append(1) or histograms(*a))
+    monkeypatch.setattr(B, "_added", None)
+    fits = B.boost_grid(sets, params, trees=7, min_child=5)
+    assert len(passes) == 1 and len(fits) == 6 and all(len(f.trees) == 7 and f.open for f in fits)
+
+
 def test_binary_trees_learn_and_a_constant_table_stops(spark):
     sets = fold_sets(_table(spark, 120))
     fits = B.boost_grid(sets, [{"learning_rate": 0.3, "num_leaves": 4, "max_depth": -1}], trees=6, min_child=5)
