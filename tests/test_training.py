@@ -56,6 +56,20 @@ def test_samplers_fall_back(spark, monkeypatch):
     assert reason.startswith("error") and rows.count() == 12
 
 
+def test_cleaning_samplers_share_rows_and_neighbours(spark, monkeypatch):
+    from newslens.operators import neighbours as N
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(i % 5 == 0, 1.0, 3)], int(i % 5 == 0)) for i in range(80)], "id long, vec array<double>, label int").coalesce(1)
+    apart = {n: sorted(map(str, resample(df, n)[0].select("id", "vec", "label", "parent").collect())) for n in ("smoteenn", "smotetomek")}
+    searched, knn = [], N.knn
+    monkeypatch.setattr(N, "knn", lambda *a, **k: searched.append(1) or knn(*a, **k))
+    shared = {}
+    for name, rows in apart.items():
+        got, reason = resample(df, name, shared=shared)
+        assert reason is None and sorted(map(str, got.select("id", "vec", "label", "parent").collect())) == rows
+    assert len(searched) == 2  # the minority's neighbours, and those of all rows
+
+
 def test_resampled_estimator_fits_to_the_balanced_rows(spark):
     df = _table(spark, 60).withColumnRenamed("x", "vec")
     est = Resampled(LogisticRegression(), "undersample", lambda d: d.withColumn("features", array_to_vector("vec")))

@@ -153,3 +153,30 @@ def test_modularity_searches_neighbours_once(spark, tmp_path):
     # the edges are read by several sums; no search is left in their plan
     assert "MapInArrow" not in found._jdf.queryExecution().toString()
     assert -0.5 <= found.first().q <= 1
+
+
+def test_knn_in_groups_finds_what_brute_force_finds(monkeypatch):
+    from newslens.operators import knn as K
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(c, 0.4, size=(300, 12)) * np.r_[3.0, 2.0, np.ones(10)] for c in (0.0, 4.0, -9.0)])[rng.permutation(900)]
+    X[10:60] = X[9]  # ties
+    X[700, 3], ids = np.inf, np.arange(900) * 2
+    screened, merge = [], K._Block._merge
+    monkeypatch.setattr(K._Block, "_merge", lambda self, i, j, ids, R: screened.append(len(R)) or merge(self, i, j, ids, R))
+    monkeypatch.setattr(K, "MANY", 50)
+    for metric in ("euclidean", "cosine"):
+        del screened[:]
+        block = K._Block(6, metric, True)
+        block.ask(ids[:699], X[:699])
+        for a in range(0, 900, 100):
+            block.see(ids[a:a + 100], X[a:a + 100])
+        got = {}
+        for b in block.answers():
+            for q, n, d in zip(*(c.to_pylist() for c in b.columns)):
+                got.setdefault(q, []).append((round(d, 6), n))
+        for i in range(0, 699, 7):
+            d = ((X - X[i]) ** 2).sum(1)
+            d = np.round(d / 2 if metric == "cosine" else np.sqrt(d), 6)
+            near = [(d[j], ids[j]) for j in np.lexsort((ids, d)) if j not in (i, 700)][:6]
+            assert sorted(got[ids[i]]) == near
+        assert min(screened) < 50  # a group skips rows of a batch
