@@ -12,13 +12,19 @@ from newslens.session import scratch_path
 from newslens.sources.tables import documents, table
 from newslens.streaming import features as SF
 
+#: Partitions of the table in a request file, and bytes of its row groups, by which it is split.
+PARTITIONS_A_FILE, ROW_GROUP = 4, 8 << 20
+
 
 @query("stream_features", f"WITH {BASE_CTE} SELECT doc_id AS id, {_counts_sql()}, {_ratios_sql()} FROM b")
 def stream_features(spark, sf):
     """Documents arrive as request files; the stream featurises them micro-batch by micro-batch."""
     base = scratch_path(spark, "stream")
     src = os.path.join(base, "requests")
-    documents(spark, sf).select(F.col("doc_id").alias("id"), "text").write.parquet(src)  # a request file for each partition
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    # a request file for a few partitions of a large table, so that a micro-batch of files has work for all cores; each can be split
+    parts, cores = docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    docs.coalesce(max(min(parts, cores), -(-parts // PARTITIONS_A_FILE))).write.option("parquet.block.size", ROW_GROUP).parquet(src)
     SF.run_feature_stream(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files_per_trigger=4)
     r = SF.latest_results(spark, os.path.join(base, "out"))
     return finish(r.select("id", *[x for c in COUNTS for x in (c, f"{c}_log")], *RATIO_SQL))

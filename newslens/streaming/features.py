@@ -40,9 +40,13 @@ def upsert_batch(out_dir: str):
     """foreachBatch sink: append the batch under its id; errors to a side table."""
     def write(batch: DataFrame, batch_id: int) -> None:
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn("seq", F.monotonically_increasing_id())
-        # a folder per batch: a batch that is run again replaces its rows
-        b.filter(F.col("error").isNull()).write.mode("overwrite").parquet(os.path.join(out_dir, "results", f"batch={batch_id}"))
-        b.filter(F.col("error").isNotNull()).write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", f"batch={batch_id}"))
+        b.persist()  # a batch is given as a finished plan: each write would compute all its features
+        try:
+            # a folder per batch: a batch that is run again replaces its rows
+            b.filter(F.col("error").isNull()).write.mode("overwrite").parquet(os.path.join(out_dir, "results", f"batch={batch_id}"))
+            b.filter(F.col("error").isNotNull()).write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", f"batch={batch_id}"))
+        finally:
+            b.unpersist()
     return write
 
 

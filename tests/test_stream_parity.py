@@ -59,3 +59,23 @@ def test_stream_service_mode(spark):
     assert got == {1: 3, 2: 2}
     looked = SF.lookup(SF.latest_results(spark, out), spark.createDataFrame([(2,), (9,)], "id bigint"))
     assert [r["id"] for r in looked.collect()] == [2]
+
+
+def test_a_batch_computes_its_features_once(spark):
+    base = scratch_path(spark, "stream-once")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([(1, "Uno.", None), (2, "Dos.", None), (3, None, "missing text")], "id bigint, text string, error string")
+    given = rows.mapInPandas(count, rows.schema)
+    given = spark.createDataFrame(given.rdd, given.schema)  # a finished plan, as a stream gives it
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    SF.upsert_batch(os.path.join(base, "out"))(given, 0)
+    assert seen.value == 3
+    assert spark.read.parquet(os.path.join(base, "out", "results")).count() == 2
+    assert spark.read.parquet(os.path.join(base, "out", "quarantine")).count() == 1
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= kept
